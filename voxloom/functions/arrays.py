@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,10 @@ def at(values: Column, index: Column) -> Column:
 def part(values: Column, start: Column, stop: Column) -> Column:
     """Elements start (0-based) up to but not including stop."""
     return F.slice(values, (start + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
+
+
+def unroll(df: DataFrame, keep: Sequence[str], values: Column, index: str = "i", item: str = "item") -> DataFrame:
+    """One row per array element with its 0-based index. The outer form is used
+    because the plain one makes the optimizer add a filter on the array's size,
+    which computes the whole array expression a second time."""
+    return df.select(*keep, F.posexplode_outer(values).alias(index, item)).where(F.col(index).isNotNull())

@@ -21,21 +21,27 @@ def repair_timestamps(tokens: Column, timestamps: Column) -> Column:
     """One time per token: a missing, non-finite or negative one takes the last
     good one before it, 0.0 at the start."""
 
-    def usable(i: Column) -> Column:
+    def usable(times: Column, i: Column) -> Column:
         return let(
-            at(timestamps, i),
+            at(times, i),
             lambda t: t.isNotNull() & ~F.isnan(t) & (t >= 0) & (t < F.lit(float("inf"))),
         )
 
-    def filled(good: Column) -> Column:
+    def filled(times: Column, count: Column, good: Column) -> Column:
         runs = F.transform(
             good,
-            lambda g, k: F.array_repeat(at(timestamps, g), (F.coalesce(at(good, k + 1), F.size(tokens)) - g).cast("int")),
+            lambda g, k: F.array_repeat(at(times, g), (F.coalesce(at(good, k + 1), count) - g).cast("int")),
         )
-        lead = F.array_repeat(F.lit(0.0), F.coalesce(at(good, F.lit(0)), F.size(tokens)).cast("int"))
+        lead = F.array_repeat(F.lit(0.0), F.coalesce(at(good, F.lit(0)), count).cast("int"))
         return F.concat(lead, F.flatten(runs))
 
-    return let(F.filter(indices(F.size(tokens)), usable), filled)
+    return let(
+        F.struct(timestamps.alias("t"), F.size(tokens).alias("n")),
+        lambda both: let(
+            F.filter(indices(both["n"]), lambda i: usable(both["t"], i)),
+            lambda good: filled(both["t"], both["n"], good),
+        ),
+    )
 
 
 def word_spans(tokens: Column) -> Column:
@@ -85,7 +91,7 @@ def timed_words(spans: Column, timestamps: Column, chunk_start: Column, chunk_en
     next one's start, its last token's longest reach or the chunk's end,
     whichever is first, and never before it starts."""
 
-    def bound(span: Column, i: Column) -> Column:
+    def bound(spans: Column, timestamps: Column, span: Column, i: Column) -> Column:
         start = F.least(chunk_end, F.greatest(chunk_start, chunk_start + F.get(timestamps, span["first"])))
         following = at(spans, i + 1)
         nxt = F.coalesce(chunk_start + F.get(timestamps, following["first"]), chunk_end)
@@ -96,44 +102,50 @@ def timed_words(spans: Column, timestamps: Column, chunk_start: Column, chunk_en
             F.least(chunk_end, F.greatest(start, F.least(nxt, reach))).alias("end"),
         )
 
-    return F.transform(spans, bound)
+    return let(
+        F.struct(spans.alias("s"), timestamps.alias("t")),
+        lambda both: F.transform(both["s"], lambda span, i: bound(both["s"], both["t"], span, i)),
+    )
 
 
 def segment_of(text: Column, timestamps: Column, chunk_start: Column, chunk_end: Column) -> Column:
     """struct<start, end, text> of a piece, null when it heard nothing."""
-    has = F.size(timestamps) > 0
-    start = F.when(
-        has, F.least(chunk_end, F.greatest(chunk_start, chunk_start + F.get(timestamps, F.lit(0))))
-    ).otherwise(chunk_start)
-    full = F.greatest(start, chunk_end)
-    last = F.get(timestamps, F.size(timestamps) - 1)
-    end = F.when(has, F.least(full, F.greatest(start, chunk_start + last + WORD_TAIL_SEC))).otherwise(full)
-    return F.when(text != "", F.struct(start.alias("start"), end.alias("end"), text.alias("text")))
+
+    def bounded(both: Column) -> Column:
+        times, heard = both["times"], both["text"]
+        has = F.size(times) > 0
+        start = F.when(
+            has, F.least(chunk_end, F.greatest(chunk_start, chunk_start + F.get(times, F.lit(0))))
+        ).otherwise(chunk_start)
+        full = F.greatest(start, chunk_end)
+        last = F.get(times, F.size(times) - 1)
+        end = F.when(has, F.least(full, F.greatest(start, chunk_start + last + WORD_TAIL_SEC))).otherwise(full)
+        return F.when(heard != "", F.struct(start.alias("start"), end.alias("end"), heard.alias("text")))
+
+    return let(F.struct(timestamps.alias("times"), text.alias("text")), bounded)
 
 
 def spread(parts: Column, start: Column, end: Column) -> Column:
     """array<struct<word, start, end>>: a span shared out by length, the last
     part ending exactly at the end. Quadratic in copies of references only."""
-    total = F.aggregate(parts, F.lit(0), lambda acc, p: acc + F.char_length(p))
+    edges = F.aggregate(
+        parts,
+        F.array(F.lit(0)),
+        lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.char_length(p)),
+    )
 
-    def shared(size: Column) -> Column:
-        edges = F.aggregate(
-            parts,
-            F.array(F.lit(0)),
-            lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.char_length(p)),
-        )
-        return let(
-            edges,
-            lambda reach: F.transform(
-                parts,
-                lambda p, i: F.struct(
-                    p.alias("word"),
-                    (start + (end - start) * F.get(reach, i) / size).alias("start"),
-                    F.when(i == F.size(parts) - 1, end)
-                    .otherwise(start + (end - start) * F.get(reach, i + 1) / size)
-                    .alias("end"),
-                ),
+    def shared(both: Column) -> Column:
+        reach, size, own = both["reach"], F.element_at(both["reach"], -1), both["parts"]
+        return F.transform(
+            own,
+            lambda p, i: F.struct(
+                p.alias("word"),
+                (both["start"] + (both["end"] - both["start"]) * F.get(reach, i) / size).alias("start"),
+                F.when(i == F.size(own) - 1, both["end"])
+                .otherwise(both["start"] + (both["end"] - both["start"]) * F.get(reach, i + 1) / size)
+                .alias("end"),
             ),
         )
 
-    return let(total, shared)
+    bound = F.struct(edges.alias("reach"), parts.alias("parts"), start.alias("start"), end.alias("end"))
+    return let(bound, shared)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.functions.arrays import unroll
 from voxloom.functions.text import clean_text, decode_tokens
 from voxloom.functions.tokens import repair_timestamps, segment_of, timed_words, word_spans
 
@@ -24,9 +25,7 @@ def extract(results: DataFrame) -> DataFrame:
 
 def group_tokens_to_words(results: DataFrame) -> DataFrame:
     """(file, piece, w, word, first, last)."""
-    return results.select("file", "piece", F.posexplode(word_spans(F.col("tokens"))).alias("w", "s")).select(
-        "file", "piece", "w", "s.*"
-    )
+    return unroll(results, ["file", "piece"], word_spans(F.col("tokens")), "w", "s").select("file", "piece", "w", "s.*")
 
 
 def piece_words(results: DataFrame) -> DataFrame:
@@ -42,9 +41,7 @@ def piece_words(results: DataFrame) -> DataFrame:
 
 def word_bounds(results: DataFrame) -> DataFrame:
     """(file, piece, w, word, start, end)."""
-    return piece_words(results).select("file", "piece", F.posexplode("words").alias("w", "t")).select(
-        "file", "piece", "w", "t.*"
-    )
+    return unroll(piece_words(results), ["file", "piece"], F.col("words"), "w", "t").select("file", "piece", "w", "t.*")
 
 
 def segment_bounds(results: DataFrame) -> DataFrame:

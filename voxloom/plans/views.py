@@ -94,7 +94,7 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS_SQL = r"""
 turn_lists AS (
   SELECT conv_id AS file, CAST(turn AS INTEGER) AS piece,
-         list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), w -> w <> '') AS ws FROM conversations),
+         list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS ws FROM conversations),
 turn_words AS (SELECT file, piece, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM turn_lists),
 tok AS (
   SELECT file, piece, i, k, row_number() OVER (PARTITION BY file, piece ORDER BY i, k) - 1 AS pos,

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from voxloom.queries import interval_queries
+import importlib
+
 from voxloom.queries.base import Query
 
+SECTIONS = (
+    "interval_queries",
+    "word_queries",
+)
+
 REGISTRY: dict[str, Query] = {}
-for module in (interval_queries,):
-    for query in module.QUERIES:
+for section in SECTIONS:
+    for query in importlib.import_module(f"voxloom.queries.{section}").QUERIES:
         if query.name in REGISTRY:
             raise ValueError(f"query {query.name} registered twice")
         REGISTRY[query.name] = query
