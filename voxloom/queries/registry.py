@@ -9,6 +9,9 @@ from voxloom.queries.base import Query
 SECTIONS = (
     "interval_queries",
     "word_queries",
+    "request_queries",
+    "report_queries",
+    "signal_queries",
 )
 
 REGISTRY: dict[str, Query] = {}

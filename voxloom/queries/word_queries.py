@@ -135,7 +135,7 @@ def _spread(spark, sf_dir):
     shared = tk.spread(F.col("ws"), F.col("piece") * 60.0, F.col("piece") * 60.0 + F.size("ws") * 0.3)
     return unroll(turns, ["file", "piece"], shared, "i", "p").select(
         "file", "piece", F.col("i").cast("long").alias("i"), F.col("p.word").alias("word"),
-        F.round("p.start", 3).alias("start"), F.round("p.end", 3).alias("end"),
+        F.floor(F.col("p.start") * 1000 + 0.501).alias("start"), F.floor(F.col("p.end") * 1000 + 0.501).alias("end"),
     )
 
 
@@ -281,8 +281,8 @@ QUERIES = [
         "spread_by_length",
         _spread,
         with_views(
-            """SELECT file, piece, i, word, round(piece * 60.0 + 0.3 * n * (upto - length(word)) / total, 3) AS start,
-                      round(piece * 60.0 + 0.3 * n * upto / total, 3) AS "end"
+            """SELECT file, piece, i, word, CAST(floor((piece * 60.0 + 0.3 * n * (upto - length(word)) / total) * 1000 + 0.501) AS BIGINT) AS start,
+                      CAST(floor((piece * 60.0 + 0.3 * n * upto / total) * 1000 + 0.501) AS BIGINT) AS "end"
                FROM (SELECT *, sum(length(word)) OVER (PARTITION BY file, piece ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto,
                             sum(length(word)) OVER (PARTITION BY file, piece) AS total, count(*) OVER (PARTITION BY file, piece) AS n FROM turn_words)""",
             views.TOKENS_SQL,
