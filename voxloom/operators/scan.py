@@ -3,9 +3,9 @@
 A window partitioned by file alone sends the whole file to one task, so one
 file holding a third of the corpus would hold up the job. Here a series is cut
 into blocks of its own order column. Rows are windowed within (key, block); one
-summary row per block carries what came before it. The big side is shuffled
-once, on (key, block); the summaries are partially aggregated before their
-shuffle and are smaller than the series by the block's size. `levels` repeats
+summary row per block carries what came before it. The series is shuffled
+once, on (key, block), and both the windows and the summaries read that one
+shuffle; the summaries are smaller than the series by the block's size. `levels` repeats
 the same idea over the summaries where even those are too many for one task.
 """
 
@@ -72,7 +72,11 @@ def running(
     """
     before, after = dict(before or {}), dict(after or {})
     keys, order = list(keys), list(order)
-    data = df.withColumn(BLOCK, block.cast("long"))
+    # Both branches below read one shuffle of the data. The exchange is reused
+    # only if they need the same columns of it, so the summary touches them all
+    # through a hash; otherwise whatever made `df` would run twice, and a chain
+    # of these would run it 2^n times.
+    data = df.withColumn(BLOCK, block.cast("long")).repartition(*keys, BLOCK)
     forward = (
         Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -89,9 +93,10 @@ def running(
         *[_windowed(kind, value, backward).alias(f"_in_{name}") for name, (kind, value) in after.items()],
     )
     blocks = data.groupBy(*keys, BLOCK).agg(
-        *[_summary(kind, value, order).alias(f"_of_{name}") for name, (kind, value) in {**before, **after}.items()]
+        *[_summary(kind, value, order).alias(f"_of_{name}") for name, (kind, value) in {**before, **after}.items()],
+        F.max(F.xxhash64(*df.columns)).alias("_touched"),
     )
-    carry = _carry(blocks, keys, before, after, levels)
+    carry = _carry(blocks.where(F.col("_touched").isNotNull()), keys, before, after, levels)
     joined = inside.join(carry, [*keys, BLOCK])
     return joined.select(
         *[F.col(name) for name in df.columns],

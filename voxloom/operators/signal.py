@@ -78,21 +78,25 @@ def frame_levels(
     size = framed.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.avg("mean").alias("_all")
     )
-    spread, own = with_halo(framed, keys, "f", smooth, block)
-    near = Window.partitionBy(*keys, BLOCK).orderBy("f").rowsBetween(-left, smooth - left - 1)
-    averaged = spread.withColumn("_a", F.avg("mean").over(near)).where(own).drop(BLOCK).join(size, keys)
-    # A window that would reach past an end is the one that just fits there.
-    edges = averaged.groupBy(*keys).agg(
-        F.max(F.when(F.col("f") == left, F.col("_a"))).alias("_head"),
-        F.max(F.when(F.col("f") == F.col("_n") - smooth + left, F.col("_a"))).alias("_tail"),
+    # A frame near an end takes the average of the last window that fits, which
+    # is centred on a frame at most `smooth` away: one more window, no join.
+    spread, own = with_halo(framed.join(size, keys), keys, "f", 2 * smooth, block)
+    place = Window.partitionBy(*keys, BLOCK).orderBy("f")
+    tail = F.col("_n") - smooth + left
+    smoothed = (
+        spread.withColumn("_a", F.avg("mean").over(place.rowsBetween(-left, smooth - left - 1)))
+        .withColumn("_head", F.max(F.when(F.col("f") == left, F.col("_a"))).over(place.rowsBetween(0, left)))
+        .withColumn("_tail", F.max(F.when(F.col("f") == tail, F.col("_a"))).over(place.rowsBetween(left - smooth, 0)))
+        .where(own)
+        .withColumn(
+            "_s",
+            F.when(F.col("_n") < smooth, F.col("_all"))
+            .when(F.col("f") < left, F.col("_head"))
+            .when(F.col("f") > tail, F.col("_tail"))
+            .otherwise(F.col("_a")),
+        )
+        .select(*keys, "f", "mean", "var", "_n", "_s")
     )
-    smoothed = averaged.join(edges, keys).withColumn(
-        "_s",
-        F.when(F.col("_n") < smooth, F.col("_all"))
-        .when(F.col("f") < left, F.col("_head"))
-        .when(F.col("f") > F.col("_n") - smooth + left, F.col("_tail"))
-        .otherwise(F.col("_a")),
-    ).select(*keys, "f", "mean", "var", "_n", "_s")
     f, n = F.col("f"), F.col("_n")
     turns = F.ceil(F.lit(half) / (2 * n)) + 1
     images = F.flatten(

@@ -12,6 +12,7 @@ SECTIONS = (
     "request_queries",
     "report_queries",
     "signal_queries",
+    "seam_queries",
 )
 
 REGISTRY: dict[str, Query] = {}

@@ -12,11 +12,11 @@ from voxloom.queries.base import Query, with_views
 def _runs(spark, sf_dir):
     return views.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("run"),
-        F.col("l_quantity").alias("duration"), (F.col("l_extendedprice") / 10000).alias("secs"),
+        F.col("l_quantity").alias("duration"), (F.col("l_extendedprice") / 7000).alias("secs"),
     )
 
 
-BENCH_SQL = "bench AS (SELECT l_orderkey AS file, l_linenumber AS run, l_quantity AS duration, l_extendedprice / 10000 AS secs FROM lineitem)"
+BENCH_SQL = "bench AS (SELECT l_orderkey AS file, l_linenumber AS run, l_quantity AS duration, l_extendedprice / 7000 AS secs FROM lineitem)"
 _PER_FILE = """
 per_file AS (SELECT file, count(*) AS runs, max(duration) AS duration, avg(secs) AS avg_secs, min(secs) AS min_secs, max(secs) AS max_secs,
   coalesce(stddev_samp(secs), 0) AS std_secs, avg(secs / duration) AS avg_rtf, avg(CASE WHEN secs > 0 THEN duration / secs ELSE 0 END) AS avg_speedup
@@ -26,7 +26,7 @@ _MEASURES = ("avg_secs", "min_secs", "max_secs", "std_secs", "avg_rtf", "avg_spe
 
 def _summary(spark, sf_dir):
     per_file = reports.runtime_summary(_runs(spark, sf_dir))
-    return per_file.select("file", "runs", "duration", *[F.round(m, 9).alias(m) for m in _MEASURES])
+    return per_file.select("file", "runs", "duration", *[F.round(m, 10).alias(m) for m in _MEASURES])
 
 
 def _overall(spark, sf_dir):
@@ -66,7 +66,7 @@ def _cards(spark, sf_dir):
 QUERIES = [
     Query(
         "runtime_summary", _summary,
-        with_views("SELECT file, runs, duration, " + ", ".join(f"round({m}, 9) AS {m}" for m in _MEASURES) + " FROM per_file", BENCH_SQL, _PER_FILE),
+        with_views("SELECT file, runs, duration, " + ", ".join(f"round({m}, 10) AS {m}" for m in _MEASURES) + " FROM per_file", BENCH_SQL, _PER_FILE),
     ),
     Query(
         "overall_summary", _overall,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import signal as sg
 from voxloom.plans import views
 from voxloom.queries.base import Query, with_views
+from voxloom.session import cut_lineage
 
 FRAME = 2
 
@@ -37,11 +38,11 @@ def _framed(spark, sf_dir):
 
 
 def _levels(spark, sf_dir):
-    return sg.frame_levels(_framed(spark, sf_dir), ["key"])
+    return cut_lineage(sg.frame_levels(_framed(spark, sf_dir), ["key"]))
 
 
 def _frame_signal(spark, sf_dir):
-    return _framed(spark, sf_dir).select("key", "f", F.round("mean", 9).alias("mean"), F.round("var", 9).alias("var"))
+    return _framed(spark, sf_dir).select("key", "f", F.round("mean", 12).alias("mean"), F.round("var", 12).alias("var"))
 
 
 def _frame_rms(spark, sf_dir):
@@ -97,7 +98,7 @@ def _waves(spark, sf_dir):
 
 
 def _normalise(spark, sf_dir):
-    ints = _waves(spark, sf_dir).withColumn("x", F.transform("x", lambda v: F.floor(v * 10000)))
+    ints = _waves(spark, sf_dir).withColumn("x", F.transform("x", lambda v: F.floor(v.cast("double") * 10000)))
     mono = sg.normalise_samples(sg.pcm_to_float(F.col("x"), 2), 3, 18)
     return ints.select("vec_id", F.posexplode(mono).alias("i", "v")).select(
         "vec_id", F.col("i").cast("long").alias("i"), F.round("v", 8).alias("v")
@@ -147,7 +148,7 @@ def _slice(spark, sf_dir):
 _WAVE_SQL = "wv AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings)"
 
 QUERIES = [
-    Query("frame_signal", _frame_signal, with_views("SELECT key, f, round(mean, 9) AS mean, round(var, 9) AS var FROM fr", views.SIGNAL_SQL, _X_SQL, _FRAMES_SQL)),
+    Query("frame_signal", _frame_signal, with_views("SELECT key, f, round(mean, 12) AS mean, round(var, 12) AS var FROM fr", views.SIGNAL_SQL, _X_SQL, _FRAMES_SQL)),
     Query("frame_rms", _frame_rms, with_views("SELECT key, f, round(rms, 8) AS rms FROM lev", views.SIGNAL_SQL, _X_SQL, _FRAMES_SQL, _LEVELS_SQL)),
     Query(
         "relative_gate", _gate,
@@ -191,7 +192,7 @@ QUERIES = [
     ),
     Query(
         "normalise_samples", _normalise,
-        with_views("SELECT vec_id, i // 3 AS i, round(avg(floor(CAST(v AS FLOAT) * 10000) / 32768), 8) AS v FROM wv WHERE i < 54 GROUP BY ALL", _WAVE_SQL),
+        with_views("SELECT vec_id, i // 3 AS i, round(avg(floor(v * 10000) / 32768), 8) AS v FROM wv WHERE i < 54 GROUP BY ALL", _WAVE_SQL),
     ),
     Query("scan_samples", _scan_samples, with_views("SELECT vec_id, count(*) AS n, round(sum(v), 6) AS total FROM wv GROUP BY vec_id", _WAVE_SQL)),
     Query(
