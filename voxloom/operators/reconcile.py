@@ -8,6 +8,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.functions.arrays import at, indices, let
 from voxloom.functions.text import WORD, seam_key
@@ -203,7 +204,7 @@ def words_near_cut(spoken: Column, cut: Column) -> Column:
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def likeness(target: pd.Series, others: pd.Series) -> pd.Series:
     """The matching-blocks ratio of a key with each of a few others."""
     return pd.Series(

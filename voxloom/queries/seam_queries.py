@@ -51,7 +51,7 @@ tw AS (SELECT file, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS
 pcs AS (SELECT file, n, p AS piece, p * 256000 AS rs, least((p + 1) * 20, n) * 12800 AS re, greatest(p * 20 - 5, 0) * 12800 AS ws,
                least(p * 20 + 25, n) * 12800 AS we FROM (SELECT file, len(ws) AS n, unnest(range((len(ws) + 19) // 20)) AS p FROM turn_lists)),
 dec AS (SELECT p.file, p.piece, p.rs, p.re, p.ws, p.we, t.i, t.i - p.ws // 12800 AS k, t.word || CASE WHEN (t.i < p.piece * 20 OR t.i >= p.piece * 20 + 20) AND t.i % 7 = 0 THEN 'x' ELSE '' END AS word,
-               p.ws + CAST(floor(((t.i - p.ws // 12800) * 8 / 10.0 + CASE WHEN p.piece % 2 = 1 THEN 0.03 ELSE 0 END)::DOUBLE * 16000) AS BIGINT) AS at
+               p.ws + CAST(floor(((t.i - p.ws // 12800) * 8 / 10.0 + CASE WHEN p.piece % 2 = 1 THEN 0.03 ELSE 0 END)::DOUBLE * 16000) AS BIGINT) AS pt
         FROM pcs p JOIN tw t ON t.file = p.file AND t.i * 12800 >= p.ws AND t.i * 12800 < p.we)"""
 
 
@@ -92,11 +92,10 @@ def _skipping(spark, sf_dir):
 
 _SKIP_SQL = "skp AS (SELECT * FROM dec WHERE i % 16 NOT BETWEEN 7 AND 13)"
 _STRETCH_SQL = """
-mk AS (SELECT file, piece, at AS lo, CAST(NULL AS BIGINT) AS dummy FROM skp),
-gp AS (SELECT p.file, p.piece, p.rs, p.re, p.ws, p.we, m.at AS at, lead(m.at) OVER (PARTITION BY p.file, p.piece ORDER BY m.at) AS nx
-       FROM pcs p JOIN (SELECT file, piece, at FROM skp UNION ALL SELECT file, piece, ws - 5120 FROM pcs) m USING (file, piece)),
-st AS (SELECT file, piece, greatest(at + 5120, rs) AS s, least(coalesce(nx, we), re) AS e FROM gp
-       WHERE least(coalesce(nx, we), re) - greatest(at + 5120, rs) >= 48000)"""
+gp AS (SELECT p.file, p.piece, p.rs, p.re, p.ws, p.we, m.pt, lead(m.pt) OVER (PARTITION BY p.file, p.piece ORDER BY m.pt) AS nx
+       FROM pcs p JOIN (SELECT file, piece, pt FROM skp UNION ALL SELECT file, piece, ws - 5120 AS pt FROM pcs) m USING (file, piece)),
+st AS (SELECT file, piece, greatest(pt + 5120, rs) AS s, least(coalesce(nx, we), re) AS e FROM gp
+       WHERE least(coalesce(nx, we), re) - greatest(pt + 5120, rs) >= 48000)"""
 
 
 def _untimed(spark, sf_dir):
@@ -217,8 +216,8 @@ QUERIES = [
     Query(
         "words_in_stretches", _in_stretches,
         with_views(
-            """SELECT p.file, p.piece, count(d.at) AS n FROM pcs p LEFT JOIN st USING (file, piece)
-               LEFT JOIN dec d ON d.file = p.file AND d.piece = p.piece AND d.at >= st.s AND d.at < st.e GROUP BY ALL""",
+            """SELECT p.file, p.piece, count(d.pt) AS n FROM pcs p LEFT JOIN st USING (file, piece)
+               LEFT JOIN dec d ON d.file = p.file AND d.piece = p.piece AND d.pt >= st.s AND d.pt < st.e GROUP BY ALL""",
             DECODED_SQL, _SKIP_SQL, _STRETCH_SQL,
         ),
     ),
@@ -227,9 +226,9 @@ QUERIES = [
         with_views(
             """SELECT *, skipped_words >= 2 AND after >= before AS accepted FROM (
                  SELECT p.file, p.piece,
-                   (SELECT count(*) FROM st JOIN rd d USING (file, piece) WHERE st.file = p.file AND st.piece = p.piece AND d.at >= st.s AND d.at < st.e - 5120) AS skipped_words,
-                   (SELECT count(*) FROM skp d WHERE d.file = p.file AND d.piece = p.piece AND d.at >= p.rs AND d.at < p.re) AS before,
-                   (SELECT count(*) FROM rd d WHERE d.file = p.file AND d.piece = p.piece AND d.at >= p.rs AND d.at < p.re) AS after FROM pcs p)""",
+                   (SELECT count(*) FROM st JOIN rd d USING (file, piece) WHERE st.file = p.file AND st.piece = p.piece AND d.pt >= st.s AND d.pt < st.e - 5120) AS skipped_words,
+                   (SELECT count(*) FROM skp d WHERE d.file = p.file AND d.piece = p.piece AND d.pt >= p.rs AND d.pt < p.re) AS before,
+                   (SELECT count(*) FROM rd d WHERE d.file = p.file AND d.piece = p.piece AND d.pt >= p.rs AND d.pt < p.re) AS after FROM pcs p)""",
             DECODED_SQL, _SKIP_SQL, _STRETCH_SQL, "rd AS (SELECT * FROM dec WHERE file % 5 <> 0 OR k < 9)",
         ),
     ),
@@ -237,7 +236,7 @@ QUERIES = [
     Query(
         "words_near_cut", _near_cut,
         with_views(
-            r"SELECT file, piece, at AS first, at AS last, replace(lower(regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g')), 'ß', 'ss') AS key FROM dec WHERE abs(at - re) <= 16000",
+            r"SELECT file, piece, pt AS first, pt AS last, replace(lower(regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g')), 'ß', 'ss') AS key FROM dec WHERE abs(pt - re) <= 16000",
             DECODED_SQL,
         ),
     ),
@@ -245,11 +244,11 @@ QUERIES = [
     Query(
         "spoken_at", _spoken_at,
         with_views(
-            r"""SELECT a.file, a.piece, coalesce(bool_or(o.at BETWEEN a.at - 1600 AND a.at + 2400 AND o.key <> b.key), FALSE) AS spoken
+            r"""SELECT a.file, a.piece, coalesce(bool_or(o.pt BETWEEN a.pt - 1600 AND a.pt + 2400 AND o.key <> b.key), FALSE) AS spoken
                FROM (SELECT *, replace(lower(regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g')), 'ß', 'ss') AS key, row_number() OVER (PARTITION BY file, piece ORDER BY i DESC) AS r FROM dec) a
                JOIN (SELECT file, piece, replace(lower(regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g')), 'ß', 'ss') AS key, row_number() OVER (PARTITION BY file, piece ORDER BY i DESC) AS r FROM dec) b
                  ON b.file = a.file AND b.piece = a.piece AND b.r = 2 AND a.r = 1
-               JOIN (SELECT file, piece - 1 AS piece, at, replace(lower(regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g')), 'ß', 'ss') AS key FROM dec) o
+               JOIN (SELECT file, piece - 1 AS piece, pt, replace(lower(regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g')), 'ß', 'ss') AS key FROM dec) o
                  ON o.file = a.file AND o.piece = a.piece GROUP BY ALL""",
             DECODED_SQL,
         ),
