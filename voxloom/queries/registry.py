@@ -13,6 +13,7 @@ SECTIONS = (
     "report_queries",
     "signal_queries",
     "seam_queries",
+    "align_queries",
 )
 
 REGISTRY: dict[str, Query] = {}
