@@ -14,6 +14,7 @@ SECTIONS = (
     "signal_queries",
     "seam_queries",
     "align_queries",
+    "number_queries",
 )
 
 REGISTRY: dict[str, Query] = {}
