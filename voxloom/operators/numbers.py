@@ -11,6 +11,7 @@ from voxloom.functions import numbers as nb
 from voxloom.functions.arrays import at, indices, let
 from voxloom.functions.text import capitalise, is_sentence_start
 from voxloom.functions.tokens import spread
+from voxloom.session import cut_lineage
 
 # Fixed values.
 DETERMINERS = (
@@ -34,11 +35,16 @@ def read_phrases(rows: DataFrame) -> DataFrame:
     before = F.coalesce(F.lower(F.regexp_replace("previous", OPENING, "")), F.lit(""))
     fits = F.char_length("_n.whole") <= nb.MAX_DIGITS
     none = F.array().cast("array<string>")
-    parsed = (
+    # The parts are written out between the steps: inlined into each other they
+    # make one expression too large to plan. Only numbers get this far.
+    split = cut_lineage(
         rows.withColumn("_n", nb.numeral(F.col("word")))
         .withColumn("_after", nb.numeral(F.col("following")))
         .withColumn("_before", before)
-        .withColumn("_q", F.when(fits, nb.amounts(F.col("_n.whole").cast("long"))).otherwise(none))
+    )
+    counted = cut_lineage(split.withColumn("_q", F.when(fits, nb.amounts(F.col("_n.whole").cast("long"))).otherwise(none)))
+    parsed = cut_lineage(
+        counted.withColumn("_q", F.when(fits, nb.amounts(F.col("_n.whole").cast("long"))).otherwise(none))
         .withColumn(
             "_points",
             F.when(fits & (F.col("_n.fraction") != ""), nb.point_readings(F.col("_n.whole"), F.col("_n.fraction"), F.col("_q"))).otherwise(none),
@@ -52,9 +58,9 @@ def read_phrases(rows: DataFrame) -> DataFrame:
         .withColumn("_article", F.col("_before").isin("a", "an"))
         .withColumn("_det", F.col("_article") | F.col("_before").isin(*DETERMINERS))
     )
-    read = (
-        parsed.withColumn("_every", nb.readings(F.col("_n"), F.col("_kind")))
-        .withColumn("_one", nb.one_word(F.col("word"), F.col("_det"), F.col("_n"), F.col("_every")))
+    every = cut_lineage(parsed.withColumn("_every", nb.readings(F.col("_n"), F.col("_kind"))))
+    read = cut_lineage(
+        every.withColumn("_one", nb.one_word(F.col("word"), F.col("_det"), F.col("_n"), F.col("_every")))
         .withColumn("_two", nb.two_words(F.col("word"), F.col("following"), F.col("_n"), F.col("_after")))
     )
     single = F.transform("_one", lambda s: F.struct(s.alias("a"), F.lit(None).cast("string").alias("b")))
