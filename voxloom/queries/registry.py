@@ -15,6 +15,7 @@ SECTIONS = (
     "seam_queries",
     "align_queries",
     "number_queries",
+    "planning_queries",
 )
 
 REGISTRY: dict[str, Query] = {}
