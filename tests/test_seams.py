@@ -46,7 +46,7 @@ def test_redo_windows_ladder(spark):
 
 
 def test_a_word_is_heard_another_way(spark):
-    rows = [("Tail.", "TAL", True), ("Lorry", "Lori,", True), ("rat-hole", "rat", False), ("III", "three", True), ("garden", "them", False), (".", "so", True)]
+    rows = [("Tail.", "TAL", True), ("Lorry", "Lori,", True), ("rat-hole", "ro", False), ("III", "three", True), ("garden", "them", False), (".", "so", True)]
     frame = spark.createDataFrame(
         [(w, 16_000, [(o, 16_000, 16_000)], want) for w, o, want in rows],
         "word string, at long, spoken array<struct<word:string,first:long,last:long>>, want boolean",

@@ -37,3 +37,12 @@ def unroll(df: DataFrame, keep: Sequence[str], values: Column, index: str = "i",
     because the plain one makes the optimizer add a filter on the array's size,
     which computes the whole array expression a second time."""
     return df.select(*keep, F.posexplode_outer(values).alias(index, item)).where(F.col(index).isNotNull())
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with computed columns that stay computed. Projected expressions are
+    copied into every filter and field access above them, so one read four
+    times runs four times; what a generator gives is not copied."""
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [name for name in df.columns if name not in columns]
+    return df.select(*kept, F.explode_outer(F.array(row)).alias("_pin")).select(*kept, *[F.col(f"_pin.{n}").alias(n) for n in columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.functions.arrays import unroll
+from voxloom.functions.arrays import pinned, unroll
 from voxloom.functions.text import clean_text, decode_tokens
 from voxloom.functions.tokens import repair_timestamps, segment_of, timed_words, word_spans
 
@@ -30,12 +30,12 @@ def group_tokens_to_words(results: DataFrame) -> DataFrame:
 
 def piece_words(results: DataFrame) -> DataFrame:
     """Pieces with their timed words and segment, one row each, no shuffle."""
-    spanned = extract(results).withColumn("spans", word_spans(F.col("tokens")))
-    return spanned.select(
-        *[c for c in results.columns if c not in ("text", "tokens", "timestamps")],
-        "text",
-        timed_words(F.col("spans"), F.col("timestamps"), F.col("chunk_start"), F.col("chunk_end")).alias("words"),
-        segment_of(F.col("text"), F.col("timestamps"), F.col("chunk_start"), F.col("chunk_end")).alias("segment"),
+    heard = extract(results)
+    once = pinned(heard, text=F.col("text"), tokens=F.col("tokens"), timestamps=F.col("timestamps"), spans=word_spans(F.col("tokens")))
+    bounds = (F.col("timestamps"), F.col("chunk_start"), F.col("chunk_end"))
+    timed = pinned(once, words=timed_words(F.col("spans"), *bounds), segment=segment_of(F.col("text"), *bounds))
+    return timed.select(
+        *[c for c in results.columns if c not in ("text", "tokens", "timestamps")], "text", "words", "segment"
     )
 
 

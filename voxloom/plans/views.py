@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.functions.arrays import pinned
 from voxloom.operators.scan import ordinal
 
 DAY_US = 86_400_000_000
@@ -19,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to every core where the files give fewer splits than that
+    would keep busy; a corpus with splits to spare is left as it is read. The
+    raw rows are moved, before the work that makes them larger."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def epoch_us(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
 
@@ -64,7 +73,7 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """results(file, piece, tokens, timestamps): each turn's words cut into
     three-character tokens, 0.8 s per word and 0.1 s per token. A word marker
     opens the first token, or, for every fifth word, stands alone before it."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread_out(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     token = lambda tok, tenths: F.struct(tok.alias("tok"), (tenths / F.lit(10.0)).alias("t"))
 
     def of_word(word: Column, i: Column) -> Column:
@@ -79,9 +88,8 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(lone, F.concat(F.array(token(F.lit("▁"), i * 8)), cut)).otherwise(cut)
 
     pieces = F.flatten(F.transform(split_words(F.col("text")), of_word))
-    return turns.select(
-        F.col("conv_id").alias("file"), F.col("turn").cast("int").alias("piece"), pieces.alias("p")
-    ).select(
+    cut = turns.select(F.col("conv_id").alias("file"), F.col("turn").cast("int").alias("piece"), "text")
+    return pinned(cut, p=pieces).select(
         "file",
         "piece",
         F.col("p.tok").alias("tokens"),

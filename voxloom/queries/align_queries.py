@@ -54,7 +54,7 @@ def _finite(spark, sf_dir):
 
 
 def _ids(spark, sf_dir):
-    words = views.table(spark, sf_dir, "documents").select(
+    words = views.spread_out(views.table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.col("doc_id").alias("utt"), F.posexplode(views.split_words(F.lower("text"))).alias("w", "said")
     )
     vocab = {letter: n for n, letter in enumerate("|'abcdefghijklmnopqrstuvwxyz")}

@@ -77,7 +77,8 @@ def _values(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\s+").alias("words"))
+    docs = views.spread_out(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.split("text", r"\s+").alias("words"))
 
 
 def _mentions(spark, sf_dir):

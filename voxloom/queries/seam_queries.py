@@ -20,7 +20,7 @@ OWN, CONTEXT = 20, 5
 
 
 def decoded(spark, sf_dir):
-    turns = views.table(spark, sf_dir, "conversations").select(
+    turns = views.spread_out(views.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("file"), views.split_words(F.col("text")).alias("words")
     )
     pieces = turns.withColumn("n", F.size("words")).withColumn(

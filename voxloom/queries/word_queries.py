@@ -21,7 +21,7 @@ def _six(*names):
 
 def _glued(spark, sf_dir):
     """Document text with markers put in, and a price glued to each line's start."""
-    return views.table(spark, sf_dir, "documents").select(
+    return views.spread_out(views.table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.replace(F.replace("text", F.lit(" "), F.lit("▁ ")), F.lit("\n"), F.lit("$5 x£1.10 \n")).alias("text")
     )
 
@@ -74,7 +74,7 @@ good AS (SELECT *, coalesce(last_value(CASE WHEN pos % 7 = 3 OR pos % 11 = 5 OR
 
 
 def _seam_key(spark, sf_dir):
-    words = views.table(spark, sf_dir, "documents").select("doc_id", F.explode(views.split_words(F.col("text"))).alias("word"))
+    words = views.spread_out(views.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(views.split_words(F.col("text"))).alias("word"))
     return words.groupBy("doc_id", tx.seam_key(F.col("word")).alias("k")).agg(F.count("*").alias("n"))
 
 
