@@ -16,6 +16,7 @@ SECTIONS = (
     "align_queries",
     "number_queries",
     "planning_queries",
+    "letter_queries",
 )
 
 REGISTRY: dict[str, Query] = {}
