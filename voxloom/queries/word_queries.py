@@ -8,6 +8,7 @@ from voxloom.functions import text as tx
 from voxloom.functions import tokens as tk
 from voxloom.functions.arrays import unroll
 from voxloom.operators import words as wd
+from voxloom.operators.retime import retime_words
 from voxloom.plans import views
 from voxloom.queries.base import Query, with_views
 from voxloom.sources import sinks
@@ -147,6 +148,20 @@ def _stitch(spark, sf_dir):
     )
 
 
+def _retime(spark, sf_dir):
+    """Turn words against a pause over the last third of every fifth word."""
+    pieces = wd.piece_words(views.token_rows(spark, sf_dir)).where(F.size("words") > 0)
+    gaps = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 5).cast("int")),
+        lambda k: F.struct((F.col("chunk_start") + k * 4.0 + 0.5).alias("s"), (F.col("chunk_start") + k * 4.0 + 0.9).alias("e")),
+    )
+    inside = F.filter(gaps, lambda g: g["e"] <= F.col("chunk_end"))
+    moved = retime_words(F.col("words"), inside, F.col("chunk_start"), F.col("chunk_end"))
+    return unroll(pieces, ["file", "piece"], moved, "w", "m").select(
+        "file", "piece", "w", F.round("m.start", 6).alias("start"), F.round("m.end", 6).alias("end")
+    )
+
+
 def _text_sink(spark, sf_dir):
     return sinks.text_documents(_segments(spark, sf_dir))
 
@@ -299,6 +314,7 @@ QUERIES = [
             _SEGMENTS_SQL,
         ),
     ),
+    Query("retime_words", _retime),
     Query("sink_text", _text_sink, with_views("SELECT file, string_agg(text, ' ' ORDER BY piece) AS value FROM seg GROUP BY file", views.TOKENS_SQL, _SEGMENTS_SQL)),
     Query("sink_srt", _srt_sink, with_views(_srt_sql(",", True), views.TOKENS_SQL, _SEGMENTS_SQL)),
     Query("sink_vtt", _vtt_sink, with_views(_srt_sql(".", False), views.TOKENS_SQL, _SEGMENTS_SQL)),
