@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators.intervals import binned_overlaps
+
 
 def runtime_summary(runs: DataFrame) -> DataFrame:
     """runs(file, run, duration, secs), per file. The speed-up is the mean of
@@ -64,3 +66,24 @@ def catalogue_cards(variants: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("language")).alias("languages"),
         F.array_sort(F.collect_set("quantization")).alias("quantizations"),
     )
+
+
+def forced_cut_report(pieces: DataFrame, speech: DataFrame, words: DataFrame, *, deep: int, bin_size: int) -> DataFrame:
+    """Per file: pieces, cuts strictly inside speech, those inside a word, and
+    those more than `deep` inside one. pieces(file, rs, re), speech and
+    words(file, s, e). A cut is where one piece ends and another starts, found
+    by equality; what holds it, by binned joins."""
+    ends = pieces.select("file", F.col("re").alias("s"))
+    cuts = ends.join(pieces.select("file", F.col("rs").alias("s")), ["file", "s"], "left_semi").withColumn("e", F.col("s") + 1)
+    inside = (
+        binned_overlaps(cuts, speech, ["file"], bin_size=bin_size).where(F.col("r_s") < F.col("s")).select("file", "s", "e").distinct()
+    )
+    depth = F.least(F.col("s") - F.col("r_s"), F.col("r_e") - F.col("s"))
+    in_word = (
+        binned_overlaps(inside, words, ["file"], bin_size=bin_size).where(F.col("r_s") < F.col("s"))
+        .groupBy("file", "s").agg(F.max(depth).alias("depth"))
+    )
+    held = inside.groupBy("file").agg(F.count("*").alias("in_speech"))
+    cut = in_word.groupBy("file").agg(F.count("*").alias("in_word"), F.count_if(F.col("depth") > deep).alias("deep"))
+    total = pieces.groupBy("file").agg(F.count("*").alias("pieces"))
+    return total.join(held, "file", "left").join(cut, "file", "left").na.fill(0)

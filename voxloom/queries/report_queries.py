@@ -63,7 +63,30 @@ def _cards(spark, sf_dir):
     return cards.select("name", "author", F.array_join("languages", ",").alias("languages"), F.array_join("quantizations", ",").alias("quantizations"))
 
 
+def _forced_cuts(spark, sf_dir):
+    """Pieces of 5000 s over each user's span; intervals as speech, errors as words."""
+    spans = views.intervals(spark, sf_dir).withColumnRenamed("key", "file")
+    size = spans.groupBy("file").agg(F.min("s").alias("a"), F.max("e").alias("b"))
+    k = size.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a") - 1) / 5000))))
+    pieces = k.select("file", (F.col("a") + F.col("k") * 5000).alias("rs"), (F.col("a") + F.col("k") * 5000 + 5000).alias("re"))
+    words = spans.where(F.col("kind") == "error").select("file", "s", "e")
+    return reports.forced_cut_report(pieces, spans.select("file", "s", "e"), words, deep=600, bin_size=3600)
+
+
 QUERIES = [
+    Query(
+        "forced_cut_report", _forced_cuts,
+        with_views(
+            """SELECT p.file, p.pieces, coalesce(c.in_speech, 0) AS in_speech, coalesce(c.in_word, 0) AS in_word, coalesce(c.deep, 0) AS deep
+               FROM (SELECT file, count(*) AS pieces FROM pieces GROUP BY file) p LEFT JOIN (
+                 SELECT file, count(*) AS in_speech, count(*) FILTER (WHERE depth IS NOT NULL) AS in_word, count(*) FILTER (WHERE depth > 600) AS deep FROM (
+                   SELECT c.file, c.re, max(CASE WHEN iv.kind = 'error' THEN least(c.re - iv.s, iv.e - c.re) END) AS depth
+                   FROM (SELECT * FROM pieces WHERE last = 0) c JOIN iv ON iv.key = c.file AND iv.s < c.re AND c.re < iv.e GROUP BY c.file, c.re) GROUP BY file) c USING (file)""",
+            views.INTERVALS_SQL,
+            """pieces AS (SELECT key AS file, a + k * 5000 + 5000 AS re, CASE WHEN k = (b - a - 1) // 5000 THEN 1 ELSE 0 END AS last
+                 FROM (SELECT *, unnest(range((b - a - 1) // 5000 + 1)) AS k FROM (SELECT key, min(s) AS a, max(e) AS b FROM iv GROUP BY key)))""",
+        ),
+    ),
     Query(
         "runtime_summary", _summary,
         with_views("SELECT file, runs, duration, " + ", ".join(f"round({m}, 10) AS {m}" for m in _MEASURES) + " FROM per_file", BENCH_SQL, _PER_FILE),
