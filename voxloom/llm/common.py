@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def batches_of(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int =
     """The batches cut so that a slice holds about `most_bytes` of `column`, or one row."""
     for batch in batches:
         start, held = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         for i, n in enumerate(lengths):
             if held and held + n > most_bytes:
                 yield batch.slice(start, i - start)
@@ -87,17 +88,10 @@ def ranged(df: DataFrame, key: str, parts: int) -> tuple[DataFrame, list[int]]:
 
 def range_of(key: Column, bounds: list[int]) -> Column:
     """How many of `bounds` are less than the key: keys up to bounds[0] are range 0."""
-    if not bounds:
-        return F.lit(0)
-    found = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    return F.coalesce(F.size(F.filter(found, lambda b: b < key)), F.lit(0)) if len(bounds) < 64 else _bisect(key, bounds)
-
-
-def _bisect(key: Column, bounds: list[int]) -> Column:
     def between(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
         return F.when(key > F.lit(bounds[middle]), between(middle + 1, high)).otherwise(between(low, middle))
 
-    return F.coalesce(between(0, len(bounds)), F.lit(0))
+    return between(0, len(bounds))

@@ -7,7 +7,35 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.chat import canonical_turns, formatted, loss_texts, read_back
 from voxloom.llm.common import table
+from voxloom.llm.fingerprints import edited_pairs
+from voxloom.llm.quality import quality_scores
 from voxloom.llm.token_counts import count_tokens
+from voxloom.llm.warc import archived
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
+    return edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labels outside the held-out fold."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through whole-stream archives, normalised, and read back."""
+    return archived(table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS largest FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN largest END AS refers_to
+FROM m"""
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +76,5 @@ SELECT conv_id, count(*) AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
-QUERIES = {"op7_token_counts": op7_token_counts, "op10_chat_formatting": op10_chat_formatting}
-SQL = {"op10_chat_formatting": OP10_SQL}
+QUERIES = {"op2_fingerprints": op2_fingerprints, "op4_quality": op4_quality, "op5_warc": op5_warc, "op7_token_counts": op7_token_counts, "op10_chat_formatting": op10_chat_formatting}
+SQL = {"op5_warc": OP5_SQL, "op10_chat_formatting": OP10_SQL}

@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,7 +92,7 @@ def count_tokens(
         for batch in batches:
             texts = texts_of(batch.column("_t"))
             yield pa.record_batch(
-                [batch.column("key"), pa.compute.cast(pa.compute.binary_length(batch.column("_t")), pa.int64()), pa.array([own.count(t) for t in texts], pa.int64())],
+                [batch.column("key"), pc.cast(pc.binary_length(batch.column("_t")), pa.int64()), pa.array([own.count(t) for t in texts], pa.int64())],
                 ["key", "n_bytes", "n_tokens"],
             )
 
@@ -111,7 +112,7 @@ def count_tokens(
         for batch in batches:
             texts = texts_of(batch.column("_t"))
             yield pa.record_batch(
-                [batch.column("key"), pa.compute.cast(pa.compute.binary_length(batch.column("_t")), pa.int64()), pa.array([spliced(t, tokenizer, chunk, 2 * overlap) for t in texts], pa.int64())],
+                [batch.column("key"), pc.cast(pc.binary_length(batch.column("_t")), pa.int64()), pa.array([spliced(t, tokenizer, chunk, 2 * overlap) for t in texts], pa.int64())],
                 ["key", "n_bytes", "n_tokens"],
             )
 
