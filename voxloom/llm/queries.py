@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.llm.chat import canonical_turns, formatted, loss_texts, read_back
 from voxloom.llm.common import table
 from voxloom.llm.fingerprints import edited_pairs
+from voxloom.llm.packing import pack
 from voxloom.llm.quality import quality_scores
 from voxloom.llm.token_counts import count_tokens
 from voxloom.llm.warc import archived
@@ -44,6 +45,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 4096 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one made of control strings, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -76,5 +82,5 @@ SELECT conv_id, count(*) AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
-QUERIES = {"op2_fingerprints": op2_fingerprints, "op4_quality": op4_quality, "op5_warc": op5_warc, "op7_token_counts": op7_token_counts, "op10_chat_formatting": op10_chat_formatting}
+QUERIES = {"op2_fingerprints": op2_fingerprints, "op4_quality": op4_quality, "op5_warc": op5_warc, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op10_chat_formatting": op10_chat_formatting}
 SQL = {"op5_warc": OP5_SQL, "op10_chat_formatting": OP10_SQL}
