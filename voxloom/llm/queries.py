@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.llm.chat import canonical_turns, formatted, loss_texts, read_back
 from voxloom.llm.common import table
 from voxloom.llm.fingerprints import edited_pairs
+from voxloom.llm.jaccard import jaccard_join
 from voxloom.llm.packing import pack
 from voxloom.llm.quality import quality_scores
 from voxloom.llm.token_counts import count_tokens
@@ -19,6 +20,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class and the number of links of every document."""
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from labels outside the held-out fold."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -82,5 +88,5 @@ SELECT conv_id, count(*) AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
-QUERIES = {"op2_fingerprints": op2_fingerprints, "op4_quality": op4_quality, "op5_warc": op5_warc, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op10_chat_formatting": op10_chat_formatting}
+QUERIES = {"op2_fingerprints": op2_fingerprints, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality, "op5_warc": op5_warc, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op10_chat_formatting": op10_chat_formatting}
 SQL = {"op5_warc": OP5_SQL, "op10_chat_formatting": OP10_SQL}
