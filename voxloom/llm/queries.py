@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.chat import canonical_turns, formatted, loss_texts, read_back
 from voxloom.llm.common import table
+from voxloom.llm.decontamination import leaks
 from voxloom.llm.fingerprints import edited_pairs
 from voxloom.llm.jaccard import jaccard_join
 from voxloom.llm.packing import pack
@@ -56,6 +57,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that it leaks."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one made of control strings, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -88,5 +94,5 @@ SELECT conv_id, count(*) AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
-QUERIES = {"op2_fingerprints": op2_fingerprints, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality, "op5_warc": op5_warc, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op10_chat_formatting": op10_chat_formatting}
+QUERIES = {"op2_fingerprints": op2_fingerprints, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality, "op5_warc": op5_warc, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op9_decontamination": op9_decontamination, "op10_chat_formatting": op10_chat_formatting}
 SQL = {"op5_warc": OP5_SQL, "op10_chat_formatting": OP10_SQL}
