@@ -31,11 +31,11 @@ from voxloom.llm.common import batches_of, texts_of, written
 from voxloom.llm.words import Growing, WordMemory, runs_at
 
 BITS = 15
-RANK = 48
+RANK = 64
 PASSAGE = 32
 SCALES = (10, 16, 26, 42, 68, 110)
 STRIDE = 6
-NEAR = 0.6
+NEAR = 0.7
 COPIED, REWORDED, ANSWER = 0.75, 0.6, 0.8
 CHUNKS = 64
 SEED = 41
@@ -143,8 +143,10 @@ def latent_map(docs: DataFrame, weights: np.ndarray, rank: int = RANK, bits: int
         for _, lengths, words in slices(batches):
             if not len(words):
                 continue
-            bucket = (words >> np.uint32(32 - bits)).astype(np.int64)
+            # a word counts once in a passage, so that runs of one word do not lead the axes
             _, at = passages(lengths)
+            pairs = np.unique(at << bits | (words >> np.uint32(32 - bits)).astype(np.int64))
+            at, bucket = np.unique(pairs >> bits, return_inverse=True)[1], pairs & (size - 1)
             seen = np.add.reduceat(test[bucket], np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), axis=0)
             order = np.argsort(bucket, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
