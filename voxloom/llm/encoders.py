@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -116,11 +117,12 @@ class _Pool:
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 5_000):
-            found = self.encoder.whole([self.before + w for w in words[at : at + 5_000]])
+            new = [self.before + w for w in words[at : at + 5_000]]
+            found = [e.ids for e in self.encoder.library.encode_batch_fast(new, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.starts.extend(self.flat.size + np.cumsum(sizes) - sizes)
             self.sizes.extend(sizes)
-            self.flat.extend(np.concatenate(found))
+            self.flat.extend(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
 
     def _forget(self) -> None:
         for x in (self.flat, self.starts, self.sizes):

@@ -12,6 +12,7 @@ from voxloom.llm.fingerprints import edited_pairs
 from voxloom.llm.jaccard import jaccard_join
 from voxloom.llm.packing import pack
 from voxloom.llm.quality import quality_scores
+from voxloom.llm.token_files import through_files
 from voxloom.llm.token_counts import count_tokens
 from voxloom.llm.warc import archived
 
@@ -46,6 +47,11 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m"""
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document through coded files and back."""
+    return through_files(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by byte_bpe_50k.json."""
     counts = count_tokens(table(spark, sf_dir, "documents"))
@@ -94,5 +100,5 @@ SELECT conv_id, count(*) AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
-QUERIES = {"op2_fingerprints": op2_fingerprints, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality, "op5_warc": op5_warc, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op9_decontamination": op9_decontamination, "op10_chat_formatting": op10_chat_formatting}
+QUERIES = {"op2_fingerprints": op2_fingerprints, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_token_files": op6_token_files, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op9_decontamination": op9_decontamination, "op10_chat_formatting": op10_chat_formatting}
 SQL = {"op5_warc": OP5_SQL, "op10_chat_formatting": OP10_SQL}

@@ -7,27 +7,38 @@ from collections.abc import Callable
 import numpy as np
 
 
+class _Numbered(dict):
+    """Gives a word that is not in it the next number, and lists it as fresh."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class WordMemory:
     """Numbers words from 0 on. `learn` is called with each list of words that
     are new, in the order of their numbers; `forget` before the memory starts
-    anew, which it does at `most` words, so a worker's memory is bounded."""
+    anew, which it does past `most` words, so a worker's memory is bounded."""
 
     def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], most: int = 600_000):
         self.learn, self.forget, self.most = learn, forget, most
-        self.number: dict[str, int] = {}
+        self.number = _Numbered()
 
     def numbers(self, words: list[str]) -> np.ndarray:
         number = self.number
-        new = set(words).difference(number)
-        if len(number) + len(new) > self.most and number:
+        if len(number) > self.most:
             number.clear()
             self.forget()
-            new = set(words)
-        if new:
-            fresh = list(new)
-            number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
+        found = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        if number.fresh:
+            fresh, number.fresh = number.fresh, []
             self.learn(fresh)
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        return found
 
 
 class Growing:
