@@ -12,11 +12,18 @@ from voxloom.llm.fingerprints import edited_pairs
 from voxloom.llm.jaccard import jaccard_join
 from voxloom.llm.packing import pack
 from voxloom.llm.quality import quality_scores
+from voxloom.llm.suffix_dedup import deduplicated
 from voxloom.llm.token_files import through_files
 from voxloom.llm.token_counts import count_tokens
 from voxloom.llm.warc import archived
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once strings of 50 bytes from earlier documents are gone."""
+    kept = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness."""
     return edited_pairs(table(spark, sf_dir, "documents"))
@@ -100,5 +107,5 @@ SELECT conv_id, count(*) AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
-QUERIES = {"op2_fingerprints": op2_fingerprints, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_token_files": op6_token_files, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op9_decontamination": op9_decontamination, "op10_chat_formatting": op10_chat_formatting}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_fingerprints": op2_fingerprints, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_token_files": op6_token_files, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op9_decontamination": op9_decontamination, "op10_chat_formatting": op10_chat_formatting}
 SQL = {"op5_warc": OP5_SQL, "op10_chat_formatting": OP10_SQL}
