@@ -25,12 +25,12 @@ import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import settled, work_folder
+from voxloom.llm.common import parts_for, settled, work_folder, written
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 SPACE = 0x6F1D0C5A8B4E4D2A
-LEVEL = 6
+LEVEL = 9
 READ = 1 << 20
 
 
@@ -167,7 +167,7 @@ def normalised(archives: DataFrame, folder: str) -> DataFrame:
                 index.close()
                 yield pa.record_batch([pa.array([made]), pa.array([index_path]), pa.array([len(lines)], pa.int64())], ["path", "index_path", "n_records"])
 
-    spread = archives.select("path").distinct()
+    spread = archives.select("path").distinct().repartition(parts_for(archives), "path")
     return settled(spread.mapInArrow(rewrite, "path string, index_path string, n_records bigint"))
 
 
@@ -198,7 +198,7 @@ def read_records(archives: DataFrame) -> DataFrame:
                             })
                         yield pa.RecordBatch.from_pylist(out, schema=READ_SCHEMA)
 
-    return archives.mapInArrow(read, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
+    return archives.repartition(parts_for(archives), "path").mapInArrow(read, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
 
 
 READ_SCHEMA = pa.schema(
@@ -210,11 +210,14 @@ def archived(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Every page written to archives, payloads of `least` bytes or more once, and read back.
 
     The largest page of each payload is found from narrow rows, counted before
-    they are shuffled; the join deals a payload that very many pages share to
-    several tasks."""
+    they are shuffled, and those of payloads that repeat are written as a small
+    table. Its size is then known: Spark broadcasts it while it is below the
+    session's own limit, and else sorts and joins, where it deals a payload that
+    very many pages share to several tasks."""
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", "html").withColumn("_digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
+    rows = pages.select("page_id", "url", "html").withColumn("_digest", F.unhex(F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))))
     kept = rows.where(F.octet_length("html") >= least).groupBy("_digest").agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    kept = written(kept, "warc-largest")
     joined = rows.join(kept, "_digest", "left")
     revisit = F.coalesce(F.col("page_id") < F.col("_largest"), F.lit(False))
     records = joined.select("page_id", "url", F.col("html"), F.when(revisit, F.col("_largest")).alias("refers_to"), revisit.alias("revisit"))
