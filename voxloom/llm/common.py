@@ -53,6 +53,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def apart(df: DataFrame) -> str:
+    """Underscores to put before a new column's name so that it is none of df's."""
+    return "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """A text column as Python strings, a null as the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import batches_of, texts_of
+from voxloom.llm.common import apart, batches_of, texts_of
 from voxloom.llm.words import Growing, WordMemory, runs_at
 
 BUCKETS = 1 << 17
@@ -196,17 +196,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of docs and `score`, from 0 to 1: how likely label 1 is."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """The columns of docs and `_score`, from 0 to 1: how likely label 1 is. More
+    underscores stand before it where docs has names that begin with one."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), apart(docs) + "score"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches_of(batches, text):
             scores = pa.array([scorer.score(t) for t in texts_of(batch.column(text))], pa.float64())
-            yield pa.record_batch([*batch.columns, scores], [*batch.schema.names, "_score"])
+            yield pa.record_batch([*batch.columns, scores], [*batch.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{fields}, _score double")
+    return docs.mapInArrow(score, f"{fields}, {name} double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

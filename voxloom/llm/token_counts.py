@@ -132,7 +132,7 @@ def count_tokens(
     cuts = left.join(right, ["key", "chunk"], "left").withColumn(
         "cut", F.array_min(F.transform(F.filter("tail", lambda b: F.map_contains_key("head", b["tail_at"])), lambda b: b["tail_at"]))
     )
-    before = F.filter("tail", lambda b: b["tail_at"] == F.col("cut"))[0]["tail_before"]
+    before = F.get(F.filter("tail", lambda b: b["tail_at"] == F.col("cut")), F.lit(0))["tail_before"]
     last = F.col("chunk") == F.col("chunks") - 1
     sums = (
         cuts.select("key", "chunks", "n_bytes", (~last & F.col("cut").isNull()).alias("bad"), F.when(last, F.col("n_tokens")).otherwise(before - F.col("head")[F.col("cut")]).alias("share"))

@@ -167,7 +167,7 @@ def normalised(archives: DataFrame, folder: str) -> DataFrame:
                 index.close()
                 yield pa.record_batch([pa.array([made]), pa.array([index_path]), pa.array([len(lines)], pa.int64())], ["path", "index_path", "n_records"])
 
-    spread = archives.select("path").distinct().repartition(parts_for(archives), "path")
+    spread = archives.select("path").repartition(parts_for(archives), "path")
     return settled(spread.mapInArrow(rewrite, "path string, index_path string, n_records bigint"))
 
 
