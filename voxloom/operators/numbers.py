@@ -44,8 +44,7 @@ def read_phrases(rows: DataFrame) -> DataFrame:
     )
     counted = cut_lineage(split.withColumn("_q", F.when(fits, nb.amounts(F.col("_n.whole").cast("long"))).otherwise(none)))
     parsed = cut_lineage(
-        counted.withColumn("_q", F.when(fits, nb.amounts(F.col("_n.whole").cast("long"))).otherwise(none))
-        .withColumn(
+        counted.withColumn(
             "_points",
             F.when(fits & (F.col("_n.fraction") != ""), nb.point_readings(F.col("_n.whole"), F.col("_n.fraction"), F.col("_q"))).otherwise(none),
         )
@@ -280,60 +279,75 @@ def zero_variants(said: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+VALUES = "array<struct<parse:int,i:int,number:decimal(38,10),exact:string,decade:boolean,digits:string>>"
+
+
+def shifted(digits: Column, point: Column) -> Column:
+    """A string of digits with its point after the first `point` of them, as
+    plain decimal text without idle zeros; `point` may lie outside the digits."""
+    size = F.char_length(digits)
+    spread_ = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(1) - point, F.lit(0))), digits, F.repeat(F.lit("0"), F.greatest(point - size, F.lit(0))))
+    at_ = F.greatest(point, F.lit(1))
+    whole = F.regexp_replace(F.substring(spread_, F.lit(1), at_), "^0+(?=.)", "")
+    rest = F.regexp_replace(F.substring(spread_, at_ + 1, F.char_length(spread_)), "0+$", "")
+    return F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+
+
 def written_values(word: Column) -> Column:
-    """array<struct<parse, i, number, decade, digits>>: every way a written
-    mention reads as exact values; several parses where it is ambiguous."""
-    value = lambda parse, i, number, decade=False, digits=None: F.struct(
-        F.lit(parse).alias("parse"), F.lit(i).alias("i"), number.cast("decimal(38,10)").alias("number"),
-        F.lit(decade).alias("decade"), (F.lit("") if digits is None else digits).alias("digits"))
+    """array<struct<parse, i, number, exact, decade, digits>>: every way a
+    written mention reads as exact values; several parses where it is ambiguous.
+    `exact` has all digits of a value of any length; `number` is null where the
+    value has more whole digits than its type holds."""
+    def value(parse, i, exact, decade=False, digits=None):
+        return F.struct(
+            F.lit(parse).alias("parse"), F.lit(i).alias("i"), exact.try_cast("decimal(38,10)").alias("number"), exact.alias("exact"),
+            F.lit(decade).alias("decade"), (F.lit("") if digits is None else digits).alias("digits"),
+        )
+
     code = lambda d: F.when(d.rlike(r"^0\d"), d).otherwise(F.lit(""))
     g = lambda p, i: F.regexp_extract(word, p, i)
-    keep = lambda *items: F.filter(F.array(*items), lambda v: v["number"].isNotNull())
+    whole = lambda d: F.when(d != "", shifted(d, F.char_length(d)))
+    keep = lambda *items: F.filter(F.array(*items), lambda v: v["exact"].isNotNull())
     clock = keep(
-        value(0, 0, F.concat(g(nb.CLOCK, 2), g(nb.CLOCK, 3)), digits=code(F.concat(g(nb.CLOCK, 2), g(nb.CLOCK, 3)))),
-        value(1, 0, F.when(g(nb.CLOCK, 3) == "00", g(nb.CLOCK, 2))),
+        value(0, 0, whole(F.concat(g(nb.CLOCK, 2), g(nb.CLOCK, 3))), digits=code(F.concat(g(nb.CLOCK, 2), g(nb.CLOCK, 3)))),
+        value(1, 0, F.when(g(nb.CLOCK, 3) == "00", whole(g(nb.CLOCK, 2)))),
     )
     a, b = g(nb.PAIR, 2), g(nb.PAIR, 3)
     phone = (F.char_length(a) >= 3) | (F.char_length(b) >= 4)
     pair = keep(
-        value(0, 0, a, digits=code(a)), value(0, 1, b, digits=code(b)),
-        value(1, 0, F.when(phone, F.concat(a, b)), digits=code(F.concat(a, b))),
+        value(0, 0, whole(a), digits=code(a)), value(0, 1, whole(b), digits=code(b)),
+        value(1, 0, F.when(phone, whole(F.concat(a, b))), digits=code(F.concat(a, b))),
     )
 
     def number(n: Column) -> Column:
-        plain = F.concat(n["whole"], F.when(n["fraction"] != "", F.concat(F.lit("."), n["fraction"])).otherwise(F.lit("")))
-        minus = F.when(n["sign"] != "", F.lit(-1)).otherwise(F.lit(1)).cast("decimal(38,10)")
-        exact = plain.cast("decimal(30,10)")
-        scale = F.when(n["currency"] != "", F.coalesce(nb._lookup({"k": "1000", "m": "1000000", "bn": "1000000000"}, F.lower(n["suffix"])), F.lit("1"))).otherwise(F.lit("1"))
-        decade = n["suffix"].isin("s", "'s") & (F.concat(n["currency"], n["fraction"]) == "")
-        minor = n["suffix"].isin(*nb.MINOR_SUFFIXES) & (F.concat(n["currency"], n["fraction"]) == "")
-        whole = n["whole"].cast("decimal(30,0)")
+        digits, point = F.concat(n["whole"], n["fraction"]), F.char_length(n["whole"])
+        power = F.when(n["currency"] != "", F.coalesce(nb._lookup({"k": "3", "m": "6", "bn": "9"}, F.lower(n["suffix"])), F.lit("0"))).otherwise(F.lit("0")).cast("int")
+        bare = F.concat(n["currency"], n["fraction"]) == ""
+        decade, minor = n["suffix"].isin("s", "'s") & bare, n["suffix"].isin(*nb.MINOR_SUFFIXES) & bare
+        large = F.char_length(whole(n["whole"])) >= 3
+        size = shifted(digits, point + power)
         return (
-            F.when(n.isNull() | plain.isNull(), F.array().cast("array<struct<parse:int,i:int,number:decimal(38,10),decade:boolean,digits:string>>"))
-            .when(decade, keep(value(0, 0, whole, True), value(1, 0, F.when(whole >= 100, whole % 100), True)))
-            .when(minor, keep(value(0, 0, exact / 100), value(1, 0, F.when(whole >= 100, whole))))
-            .otherwise(keep(value(0, 0, exact * scale.cast("decimal(10,0)") * minus.cast("decimal(2,0)"), digits=F.when(n["fraction"] == "", code(n["whole"])).otherwise(F.lit("")))))
-        )
+            F.when(n.isNull() | n["whole"].isNull(), F.array().cast(VALUES))
+            .when(decade, keep(value(0, 0, whole(n["whole"]), True), value(1, 0, F.when(large, whole(F.substring(n["whole"], -2, 2))), True)))
+            .when(minor, keep(value(0, 0, shifted(digits, point - 2)), value(1, 0, F.when(large, whole(n["whole"])))))
+            .otherwise(keep(value(
+                0, 0, F.when((n["sign"] != "") & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size),
+                digits=F.when(n["fraction"] == "", code(n["whole"])).otherwise(F.lit("")),
+            )))
+        )
 
     return F.when(word.rlike(nb.CLOCK), clock).when(word.rlike(nb.PAIR), pair).otherwise(let(nb.numeral(word), number))
 
 
-def match_said_to_written(spoken: DataFrame, found: DataFrame, keys: list[str], longest: int = 12) -> DataFrame:
-    """spoken(keys, words) and mentions(keys, pos, options): mentions a run of
-    the spoken words says. The runs of spoken words up to the longest reading
-    are joined on their text; a pair of texts is never compared whole."""
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N} ]+", " ")
-    runs = spoken.select(
-        *keys,
-        F.explode(F.array_distinct(F.flatten(F.transform(
-            indices(F.size("words")),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - i)),
-                lambda n: F.trim(F.regexp_replace(plain(F.array_join(F.slice("words", i + 1, n), " ")), " +", " ")),
-            ),
-        )))).alias("said"),
-    )
-    ways = found.select(*keys, "pos", F.explode("options").alias("o")).select(
-        *keys, "pos", F.trim(F.regexp_replace(plain(F.col("o")), " +", " ")).alias("said")
-    ).distinct()
-    return ways.join(runs, [*keys, "said"], "left_semi").select(*keys, "pos").distinct()
+def match_said_to_written(spoken: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """spoken(keys, words) and mentions(keys, pos, options): mentions that a run
+    of the spoken words says, of any length. A text meets its own mentions in
+    one row, where each reading is looked for between words' borders."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    texts = spoken.select(*keys, F.concat(F.lit("|"), F.array_join(F.transform("words", plain), "|"), F.lit("|")).alias("_text"))
+    ways = found.select(*keys, "pos", F.array_distinct(F.filter(F.transform("options", plain), lambda o: o != "")).alias("_said"))
+    held = ways.groupBy(*keys).agg(F.collect_list(F.struct("pos", "_said")).alias("_ways"))
+    # a space of a reading lies within a word or between two; words of no letter or digit are passed over
+    here = lambda said: F.rlike("_text", F.concat(F.lit(r"\|"), F.replace(said, F.lit(" "), F.lit("[ |]+")), F.lit(r"\|")))
+    told = F.filter("_ways", lambda m: F.exists(m["_said"], here))
+    return texts.join(held, keys).select(*keys, F.explode(F.transform(told, lambda m: m["pos"])).alias("pos")).distinct()

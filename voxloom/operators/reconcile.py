@@ -67,7 +67,7 @@ def stalled_stretches(untimed: DataFrame, speech: DataFrame, *, block: int = 655
     detected speech (file, s, e)."""
     rows = untimed.select("file", "piece", F.posexplode("stretches").alias("k", "g")).select(
         "file", "piece", "k", F.col("g.s").alias("s"), F.col("g.e").alias("e")
-    ).withColumn("id", F.col("piece").cast("long") * 1000 + F.col("k"))
+    ).withColumn("id", F.shiftleft(F.col("piece").cast("long"), 32) + F.col("k"))
     sums = overlap_sum(speech, rows.select("file", "id", "s", "e"), ["file"], block=block)
     return rows.join(sums, ["file", "id"]).where(F.col("overlap") >= STALL).drop("id")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import let, part
-from voxloom.operators.intervals import binned_overlaps, join_dips, runs, whole
+from voxloom.operators.intervals import join_dips, overlap_sum, runs, whole
 from voxloom.operators.scan import BLOCK, with_halo
 
 # Fixed values, at 16 kHz and 20 ms frames.
@@ -151,9 +151,7 @@ def pauses(flagged: DataFrame, keys: Sequence[str], *, shortest: int = 10, block
 
 def filter_has_speech(clips: DataFrame, spans: DataFrame, keys: Sequence[str], *, bin_size: int) -> DataFrame:
     """Clips (keys, id, s, e) with any detected speech, and how much."""
-    pairs = binned_overlaps(clips, spans, keys, bin_size=bin_size)
-    inside = F.least("e", "r_e") - F.greatest("s", "r_s")
-    return pairs.groupBy(*keys, "id").agg(F.sum(inside).alias("speech"))
+    return overlap_sum(spans, clips, keys, block=bin_size).where("overlap > 0").withColumnRenamed("overlap", "speech")
 
 
 def span_power(samples: DataFrame, keys: Sequence[str], span: int, *, block: int = 65536) -> DataFrame:
