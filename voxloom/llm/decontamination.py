@@ -35,7 +35,7 @@ RANK = 64
 PASSAGE = 32
 SCALES = (10, 16, 26, 42, 68, 110)
 STRIDE = 6
-NEAR = 0.7
+NEAR = 0.65
 COPIED, REWORDED, ANSWER = 0.75, 0.6, 0.8
 CHUNKS = 64
 SEED = 41
