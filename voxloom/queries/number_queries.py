@@ -105,9 +105,9 @@ def _verbalise(spark, sf_dir):
 
 
 def _priced(spark, sf_dir):
-    """The distinct whole prices of the parts, as text with a price in it."""
-    prices = views.table(spark, sf_dir, "part").select(F.floor(F.col("p_retailprice") % 100).cast("string").alias("p")).distinct()
-    return prices.select("p", F.array(F.lit("for"), F.concat(F.lit("$"), "p"), F.lit("each")).alias("words"))
+    """Every part's price, as text with a price in it."""
+    parts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.format_string("$%.2f", "p_retailprice").alias("w"))
+    return parts.select("p", F.array(F.lit("for"), F.col("w"), F.lit("each")).alias("words"))
 
 
 def _rivals(spark, sf_dir):
