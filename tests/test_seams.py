@@ -53,3 +53,23 @@ def test_a_word_is_heard_another_way(spark):
     )
     wrong = rc.fuzzy_heard(frame).where("heard <> want").collect()
     assert not wrong
+
+
+def test_made_up_endings_go_only_when_nobody_heard_them(spark):
+    sec = 16_000
+    said = ["▁north", "▁wind", "▁blows", "▁cold", "▁ghost"]
+    times = [1.0, 2.0, 7.0, 9.0, 9.6]
+    word = lambda w, t: (w, int(t * sec), int(t * sec) + 3200)
+    full = [word(w[1:], t) for w, t in zip(said, times)]
+    loud = [1.0] * 100
+    late = [1.0] * 50 + [0.01] * 20 + [1.0] * 30
+    cases = {
+        "gone": ([full[:4], full[:4]], loud), "one heard it": ([full[:4], full], loud), "another word there": ([full[:4], [*full[:4], word("rain", 9.6)]], loud),
+        "lost speech": ([full[:4], []], loud), "said alone": ([full[:4], full[:4]], late), "not decoded": ([], loud), "two gone": ([full[:3], full[:3]], loud),
+    }
+    rows = [(name, 0, 0, 10 * sec, 8 * sec + 8000, said, times, again, levels) for name, (again, levels) in cases.items()]
+    rows.append(("one word", 0, 0, 10 * sec, 0, ["▁only"], [9.8], [[], []], loud))
+    frame = spark.createDataFrame(rows, "file string, piece int, ws long, we long, begin long, tokens array<string>, timestamps array<double>, again array<array<struct<word:string,first:long,last:long>>>, levels array<double>")
+    frame = frame.withColumn("timestamps", F.when(F.col("file") == "two gone", F.array(*[F.lit(t) for t in (1.0, 2.0, 7.0, 9.3, 9.6)])).otherwise(F.col("timestamps")))
+    got = {r.file: (r.dropped, len(r.tokens)) for r in rc.drop_made_up_endings(frame).collect()}
+    assert got == {"gone": (1, 4), "one heard it": (0, 5), "another word there": (0, 5), "lost speech": (0, 5), "said alone": (0, 5), "not decoded": (0, 5), "two gone": (2, 3), "one word": (0, 1)}

@@ -14,6 +14,7 @@ from voxloom.functions.arrays import at, indices, let
 from voxloom.functions.text import WORD, seam_key
 from voxloom.functions.tokens import word_spans
 from voxloom.operators.intervals import overlap_sum
+from voxloom.operators.signal import pause_then_syllable
 
 # Fixed values.
 RATE = 16_000
@@ -275,3 +276,47 @@ def select_endings(pieces: DataFrame) -> DataFrame:
         .where(quiet <= F.col("top") * 10.0 ** (-PAUSE_DB / 20))
         .drop("_l")
     )
+
+
+def drop_made_up_endings(asked: DataFrame) -> DataFrame:
+    """asked(file, piece, ws, we, begin, tokens, timestamps, again, levels): a
+    piece whose ending was decoded `again`, an array of decodes, each an array
+    of struct<word, first, last> in samples; `levels` are its frames from
+    `begin`, over the speech's own. Returns file, piece, tokens, timestamps,
+    dropped: without the words of its last 0.75 s, from the end back to the
+    last one that a decode heard or where a decode spoke another word. They stay
+    unless every decode heard the word before them and no syllable follows a
+    pause after it. The first word always stays, and so does a piece that was
+    not decoded again.
+
+    Only the late words of a piece and the one before them leave its row."""
+    located = asked.withColumn("_spans", word_spans(F.col("tokens"))).withColumn(
+        "_at", let(F.struct(F.col("_spans").alias("s"), F.col("timestamps").alias("t")),
+                   lambda b: F.transform(b["s"], lambda w: F.col("ws") + samples(F.get(b["t"], w["first"]))))
+    )
+    late = F.filter(indices(F.size("_spans")), lambda i: (i > 0) & (F.get("_at", i) >= F.col("we") - MADE_UP))
+    # a word on its own counts as late only if all after it are
+    early = F.coalesce(F.array_max(F.filter(indices(F.size("_spans")), lambda i: ~F.array_contains("_late", i))), F.lit(0))
+    opened = located.withColumn("_late", late).withColumn("_from", early)
+    words = opened.where(F.size("again") > 0).select(
+        "file", "piece", "_from", "again", "_spans", "_at", F.explode(F.filter(indices(F.size("_spans")), lambda i: i >= F.col("_from"))).alias("k")
+    ).select(
+        "file", "piece", "k", F.get("_spans", F.col("k"))["word"].alias("word"), F.get("_at", F.col("k")).alias("at"),
+        at(F.col("_spans"), F.col("k") - 1)["word"].alias("_before"), F.explode("again").alias("spoken"),
+    )
+    told = fuzzy_heard(words).withColumn("spoken", F.coalesce(spoken_at(F.col("spoken"), F.col("at"), F.coalesce("_before", F.lit(""))), F.lit(False)))
+    verdicts = told.groupBy("file", "piece", "k").agg(F.bool_or("heard").alias("any"), F.bool_and("heard").alias("all"), F.bool_or("spoken").alias("spoken"))
+    # the word that ends what stays: the last with a sign of being said, or the one before all late words
+    ends = verdicts.groupBy("file", "piece").agg(
+        F.max(F.struct((F.col("any") | F.col("spoken") | (F.col("k") == 0)).cast("int").alias("sign"), "k", "all")).alias("_sign"),
+        F.min(F.struct("k", "all")).alias("_first"),
+    ).select("file", "piece", F.when(F.col("_sign.sign") == 1, F.struct("_sign.k", "_sign.all")).otherwise(F.struct("_first.k", "_first.all")).alias("_end"))
+    judged = opened.join(ends, ["file", "piece"], "left")
+    last = F.get("_spans", F.col("_end.k"))["last"]
+    frame = F.floor((F.col("ws") + samples(F.get("timestamps", last)) - F.col("begin")) / FRAME).cast("int")
+    goes = F.col("_end.all") & (F.col("_end.k") < F.size("_spans") - 1) & ~pause_then_syllable(F.col("levels"), frame)
+    keep = F.when(goes, last + 1).otherwise(F.size("tokens"))
+    return judged.withColumn("_keep", keep).select(
+        "file", "piece", F.slice("tokens", F.lit(1), F.col("_keep")).alias("tokens"), F.slice("timestamps", F.lit(1), F.col("_keep")).alias("timestamps"),
+        F.when(goes, F.size("_spans") - 1 - F.col("_end.k")).otherwise(F.lit(0)).alias("dropped"),
+    )
