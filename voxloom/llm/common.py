@@ -86,17 +86,26 @@ def ranged(df: DataFrame, key: str, parts: int) -> tuple[DataFrame, list[int]]:
     """`df` with `_range`, the number of its key range, and the first key of each
     range. The bounds are quantiles of the key column alone; they are as many as
     the partitions asked for, whatever the data."""
-    ends = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)] if parts > 1 else [0.5], 10_000)).first()[0] or []
+    ends = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)] if parts > 1 else [0.5], max(10_000, 10 * parts))).first()[0] or []
     bounds = sorted(set(ends)) if parts > 1 else []
     return df.withColumn("_range", range_of(F.col(key), bounds)), bounds
 
 
+def long_array(values: list[int]) -> Column:
+    """One literal, however long: it is read from text when the plan is folded."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def range_of(key: Column, bounds: list[int]) -> Column:
-    """How many of `bounds` are less than the key: keys up to bounds[0] are range 0."""
-    def between(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key > F.lit(bounds[middle]), between(middle + 1, high)).otherwise(between(low, middle))
-
-    return between(0, len(bounds))
+    """How many of the sorted `bounds` are less than the key, by halving: keys up to bounds[0] are range 0."""
+    held = long_array(bounds)
+    span = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+
+    def halve(at: Column, _step: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        less = F.coalesce(F.get(held, middle) < key, F.lit(False))
+        open_ = at["low"] < at["high"]
+        return span(F.when(open_ & less, middle + 1).otherwise(at["low"]), F.when(open_ & ~less, middle).otherwise(at["high"]))
+
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, span(F.lit(0), F.lit(len(bounds))), halve)["low"]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import batches_of, parts_for, range_of, ranged, texts_of
+from voxloom.llm.common import batches_of, long_array, parts_for, range_of, ranged, texts_of
 from voxloom.llm.words import Growing, WordMemory
 
 LOW, HIGH = 1e-4, 0.1
@@ -103,25 +103,36 @@ def lexicon_of(df: DataFrame, text: str = "text", low: float = LOW, high: float
     return np.sort(band.select("term").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _mixed(terms: np.ndarray, seed: int) -> np.ndarray:
+_SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * seed + 1) & (1 << 64) - 1 for seed in range(SEEDS)], np.uint64)
+_HEX = [f"{i:0{DIGITS}x}" for i in range(16**DIGITS)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (terms ^ np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = x * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(31)
         x *= np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(29))
 
 
 def fingerprint(text: str, terms: np.ndarray) -> str:
-    """Sixteen digits of the text, then three for each rate and seed; --- where a subset holds no term."""
-    parts = [[] for _ in RATES]
-    for seed in range(SEEDS):
-        kept, chance = terms, _mixed(terms, seed)
-        for k, rate in enumerate(RATES):
-            if len(kept):
-                keep = chance < np.uint64(1 << (64 - rate))
-                kept, chance = kept[keep], chance[keep]
-            parts[k].append(f"{xxhash.xxh64_intdigest(kept.tobytes()) & 0xFFF:03x}" if len(kept) else NONE)
-    return f"{xxhash.xxh64_intdigest(text):016x}" + "".join("".join(p) for p in parts)
+    """Sixteen digits of the text, then three for each rate and seed; --- where a
+    subset holds no term. The subsets of a seed lie in one another, so each rate
+    looks only at what the one before it kept; terms come sorted and distinct,
+    and a subset's hash is that of the sum of theirs and their number."""
+    chance = _mixed(terms[None, :] ^ _SEEDS[:, None]).ravel()
+    seed = np.repeat(np.arange(SEEDS), len(terms))
+    parts = [f"{xxhash.xxh64_intdigest(text):016x}"]
+    with np.errstate(over="ignore"):
+        for rate in RATES:
+            keep = chance < np.uint64(1 << (64 - rate))
+            chance, seed = chance[keep], seed[keep]
+            held = np.bincount(seed, minlength=SEEDS)
+            sums = np.r_[np.uint64(0), np.cumsum(chance, dtype=np.uint64)]
+            ends = np.cumsum(held)
+            digits = _mixed(sums[ends] - sums[ends - held] + held.astype(np.uint64)) >> np.uint64(64 - 4 * DIGITS)
+            parts += [_HEX[d] if n else NONE for d, n in zip(digits.tolist(), held.tolist(), strict=True)]
+    return "".join(parts)
 
 
 def likeness(a: str, b: str) -> float:
@@ -162,9 +173,10 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
         copies = F.array(own)
     else:
         heads = [o for _, o in firsts]
-        before = F.array(*[F.lit(firsts[i - 1][0]) for i in range(len(firsts))])
-        to = F.element_at(before, range_of(F.col("_o"), heads) + 1)
-        copies = F.when(F.col("_o").isin(heads), F.array(own, F.struct(to.alias("_range"), F.lit(1).alias("_over")))).otherwise(F.array(own))
+        place = range_of(F.col("_o"), heads)
+        to = F.get(long_array([firsts[i - 1][0] for i in range(len(firsts))]), place).cast("int")
+        is_head = F.get(long_array(heads), place) == F.col("_o")
+        copies = F.when(is_head, F.array(own, F.struct(to.alias("_range"), F.lit(1).alias("_over")))).otherwise(F.array(own))
     return dealt.select("_k", "_o", "_t", F.explode(copies).alias("_c")).select("_k", "_o", "_t", "_c._range", "_c._over")
 
 

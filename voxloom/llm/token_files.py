@@ -27,7 +27,7 @@ import pyarrow.fs as fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import batches_of, parts_for, ranged, settled, texts_of, work_folder
+from voxloom.llm.common import batches_of, long_array, parts_for, range_of, ranged, settled, texts_of, work_folder
 from voxloom.llm.encoders import encoder
 
 MAGIC = b"VXIDS1\n"
@@ -283,13 +283,10 @@ def write_files(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
 
 def read_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start, n_tokens, ids_crc32, ids of each document, from the files alone."""
-    totals, at = {}, 0
-    for r in sorted(files.groupBy("_range").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["_range"]):
-        totals[r["_range"]], at = at, at + r["n"]
-    if not totals:
-        base = F.lit(0).cast("bigint")
-    else:
-        base = F.element_at(F.create_map(*[F.lit(x) if i % 2 == 0 else F.lit(x).cast("bigint") for kv in totals.items() for i, x in enumerate(kv)]), F.col("_range"))
+    # a number for each range passes the driver
+    sums = sorted((r["_range"], r["n"]) for r in files.groupBy("_range").agg(F.sum("n_ids").alias("n")).collect())
+    firsts = np.cumsum([0, *(n for _, n in sums)]).tolist()
+    base = F.coalesce(F.get(long_array(firsts), range_of(F.col("_range"), [r for r, _ in sums])), F.lit(0))
     before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("_range").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = files.select("path", (base + before).alias("base")).repartition(parts_for(files), "path")
 
