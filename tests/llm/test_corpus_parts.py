@@ -4,6 +4,7 @@ import gzip
 import io
 import json
 import random
+from bisect import bisect_left
 
 import duckdb
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.llm import chat, decontamination, packing, token_files, warc
+from voxloom.llm.common import range_of
 from voxloom.llm.encoders import encoder
 from voxloom.llm.fingerprints import edited_pairs, fingerprints, likeness
 from voxloom.llm.graph import components
@@ -100,6 +102,13 @@ def test_crowded_anchors_give_the_same_rows(spark, crowd):
         assert bytes(got[i]) == bytes(c for p, c in enumerate(b) if p not in gone)
 
 
+@pytest.mark.parametrize("bounds", [[], [5], list(range(0, 60, 7)), [-(1 << 63), 0, 1 << 62]])
+def test_ranges_are_those_of_bisection(spark, bounds):
+    keys = [-(1 << 63), -1, 0, 1, 5, 6, 7, 13, 14, 59, 100, 1 << 62, (1 << 63) - 1]
+    got = {r["k"]: r["n"] for r in spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", range_of(F.col("k"), bounds).alias("n")).collect()}
+    assert got == {k: bisect_left(bounds, k) for k in keys}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (300, 299)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
