@@ -15,10 +15,11 @@ groups by first symbol; groups are processed in descending order, and each
 moves the positions that its members' previous-smaller pointers name behind the
 rest of their groups, so that in the end a group holds one Lyndon prefix; a
 second pass emits the order group by group along the same pointers. Symbols are
-ranks of eight bytes, which keeps the order of the bytes.
+ranks of thirteen bytes, which keeps the order of the bytes.
 
-Anchors with more than `crowd` differing contexts are settled string by string,
-with the minima counted before the shuffle, so no group is bound to one task.
+Anchors with more than `crowd` differing contexts are settled string by string:
+each string is dealt by its own hash, and of equal strings of a slice of texts
+only the earliest is sent, so no group is bound to one task.
 
 A null or short text keeps all its bytes; copies of an earlier text of at least
 `least` bytes lose all of theirs; a null id comes before all others; rows that
@@ -27,20 +28,21 @@ share an id never remove from one another, and repeated rows are treated alike.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import batches_of, parts_for, written
+from voxloom.llm.common import apart, batches_of, parts_for, written
 
 LEAST = 50
 GRAM = 16
 CROWD = 4_000
-ROWS = 40_000  # contexts sorted together, unless a group has more
+ROWS = 20_000  # contexts sorted together, unless a group has more
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -122,17 +124,27 @@ def suffix_array(symbols: list[int]) -> list[int]:
     return out
 
 
+SYMBOL = 13
+
+
 def sorted_rows(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """For each matrix of distinct byte rows, of widths in eights, the order of its rows, from one suffix array."""
-    parts = [np.ascontiguousarray(r).view(">u8").astype(np.uint64) for r in rows]
-    _, ranks = np.unique(np.concatenate([p.ravel() for p in parts]), return_inverse=True)
-    array = np.array(suffix_array([*(ranks.ravel() + 1).tolist(), 0]), np.int64)
+    """For each matrix of distinct byte rows, of widths in SYMBOL bytes, the order of its rows, from one suffix array."""
+    cut = np.concatenate([r.reshape(-1, SYMBOL) for r in rows])
+    upper = np.ascontiguousarray(cut[:, :8]).view(">u8").ravel().astype(np.uint64)
+    lower = np.zeros((len(cut), 8), np.uint8)
+    lower[:, 3:] = cut[:, 8:]
+    lower = lower.view(">u8").ravel().astype(np.uint64)
+    by = np.lexsort((lower, upper))
+    new = np.r_[True, (upper[by][1:] != upper[by][:-1]) | (lower[by][1:] != lower[by][:-1])]
+    ranks = np.empty(len(cut), np.int64)
+    ranks[by] = np.cumsum(new)
+    array = np.array(suffix_array([*ranks.tolist(), 0]), np.int64)
     out, base = [], 0
-    for p in parts:
-        width = p.shape[1]
-        own = array[(array >= base) & (array < base + p.size)] - base
+    for r in rows:
+        width, size = r.shape[1] // SYMBOL, r.size // SYMBOL
+        own = array[(array >= base) & (array < base + size)] - base
         out.append(own[own % width == 0] // width)
-        base += p.size
+        base += size
     return out
 
 
@@ -142,6 +154,11 @@ def _common(rows: np.ndarray) -> np.ndarray:
     return np.r_[-1, np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])]
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    _, first, number = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return first, number.ravel()
+
+
 def earlier_strings(group: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """For anchors with contexts: the largest and least number of bytes before the
     anchor with which a string of it begins that an earlier document has; -1 if none.
@@ -149,34 +166,49 @@ def earlier_strings(group: np.ndarray, doc: np.ndarray, left: np.ndarray, right:
     `before` holds the bytes before the anchor, nearest first, of which `left`
     count; `after` those from its start, of which `right` count."""
     n, reach = len(group), before.shape[1]
-    named = np.zeros((n, -(-(4 + reach) // 8) * 8), np.uint8)
-    named[:, :4] = group.astype(">u4")[:, None].view(np.uint8)
-    named[:, 4 : 4 + reach] = before
-    padded = np.zeros((n, -(-least // 8) * 8), np.uint8)
-    padded[:, :least] = after
-    numbers, commons = [], []
-    distinct = []
-    for m in (padded, named):
-        _, first, number = np.unique(m.view(f"V{m.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        distinct.append(m[first])
-        numbers.append(number.ravel())
+    gram = least - reach
+    most, fewest = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    # anchors are equal by their bytes, not by their hash alone
+    head = np.zeros((n, 4), np.uint8)
+    _, group = _distinct(np.hstack([group.astype(">u4")[:, None].view(np.uint8), after[:, :gram]]))
+    head[:] = group.astype(">u4")[:, None].view(np.uint8)
+    width = -(-(4 + reach) // SYMBOL) * SYMBOL
+    sides = []
+    for side in (after[:, gram:], before):
+        m = np.zeros((n, width), np.uint8)
+        m[:, :4], m[:, 4 : 4 + reach] = head, side
+        sides.append(m)
+    # a string has at least half of its other bytes on one side, so an anchor that shares them with none is done
+    half = 4 + reach // 2
+    shared = np.zeros(n, bool)
+    for m in sides:
+        _, number = _distinct(m[:, :half])
+        shared |= np.bincount(number)[number] > 1
+    use = np.flatnonzero(shared)
+    if not len(use):
+        return most, fewest
+    numbers, distinct, commons = [], [], []
+    for m in sides:
+        first, number = _distinct(m[use])
+        distinct.append(m[use][first])
+        numbers.append(number)
     for i, order in enumerate(sorted_rows(distinct)):
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         numbers[i] = rank[numbers[i]]
         commons.append(_common(distinct[i][order]))
-    most, fewest = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     for o in range(reach + 1):
-        rows = np.flatnonzero((left >= o) & (right >= least - o))
-        if not len(rows):
+        at = np.flatnonzero((left[use] >= o) & (right[use] >= least - o))
+        if not len(at):
             continue
-        r = np.cumsum(commons[0] < least - o)[numbers[0][rows]]
-        lft = np.cumsum(commons[1] < 4 + o)[numbers[1][rows]]
-        key = lft * np.int64(len(commons[0]) + 1) + r
-        by = np.lexsort((doc[rows], key))
+        ahead = np.cumsum(commons[0] < 4 + reach - o)[numbers[0][at]]
+        back = np.cumsum(commons[1] < 4 + o)[numbers[1][at]]
+        docs = doc[use[at]]
+        key = back * np.int64(len(commons[0]) + 1) + ahead
+        by = np.lexsort((docs, key))
         opens = np.r_[True, np.diff(key[by]) != 0]
-        first = doc[rows][by][np.maximum.accumulate(np.where(opens, np.arange(len(by)), 0))]
-        hit = rows[by[doc[rows][by] > first]]
+        first = docs[by][np.maximum.accumulate(np.where(opens, np.arange(len(by)), 0))]
+        hit = use[at[by[docs[by] > first]]]
         most[hit] = o
         fewest[hit] = np.where(fewest[hit] < 0, o, fewest[hit])
     return most, fewest
@@ -208,25 +240,26 @@ def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int =
     return h[at], at, np.searchsorted(ends, at, side="right")
 
 
-def contexts(flat: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """left, right, before, after of anchors in texts [low, high)."""
+def context_digests(flat: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, least: int = LEAST, gram: int = GRAM) -> np.ndarray:
+    """Hashes of the `left` bytes before each anchor and the `right` from its start, and of both numbers."""
     reach = least - gram
-    left, right = np.minimum(at - low, reach), np.minimum(high - at, least)
-    back, ahead = np.arange(1, reach + 1), np.arange(least)
-    before = flat[np.maximum(at[:, None] - back, 0)] * (back <= left[:, None])
-    after = flat[np.minimum(at[:, None] + ahead, len(flat) - 1)] * (ahead < right[:, None])
-    return left, right, before.astype(np.uint8), after.astype(np.uint8)
-
-
-def _digest(left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    whole = np.zeros((len(left), -(-(before.shape[1] + after.shape[1]) // 8) * 8), np.uint8)
-    whole[:, : before.shape[1]] = before
-    whole[:, before.shape[1] : before.shape[1] + after.shape[1]] = after
+    size = -(-(reach + least) // 8) * 8
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(reach, np.uint8), flat, np.zeros(size, np.uint8)]), size)
     out = (left * 64 + right).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        for column in whole.view(np.uint64).T:
-            out = (out ^ column) * _M[3]
-            out ^= out >> np.uint64(31)
+    for low in range(0, len(at), 20_000):
+        span = slice(low, low + 20_000)
+        whole = around[at[span]]
+        whole[:, reach + least :] = 0
+        # bytes of the neighbouring texts count for nothing
+        for rows, cut in ((np.flatnonzero(left[span] < reach), True), (np.flatnonzero(right[span] < least), False)):
+            columns = np.arange(size)
+            whole[rows] *= (columns >= reach - left[span][rows, None]) if cut else (columns < reach + right[span][rows, None])
+        part = out[span]
+        with np.errstate(over="ignore"):
+            for column in whole.view(np.uint64).T:
+                part = (part ^ column) * _M[3]
+                part ^= part >> np.uint64(31)
+        out[span] = part
     return out
 
 
@@ -268,11 +301,11 @@ def _spans(row, start, end) -> pa.RecordBatch:
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """row, start, until: bytes of docs(row, doc, data) that strings of earlier documents cover. Spans may overlap."""
     parts = parts_for(docs)
-    buckets = 4 * parts
+    buckets = parts
     reach = least - gram
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, "data", 4 << 20):
+        for batch in batches_of(batches, "data", 3 << 20):
             texts = batch.column("data").to_pylist()
             rows, order = batch.column("row").to_numpy(), batch.column("doc").to_numpy()
             lengths = np.array([len(t) for t in texts], np.int64)
@@ -282,8 +315,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
             if not len(h):
                 continue
             low = (ends - lengths)[text]
-            left, right, before, after = contexts(flat, at, low, ends[text], least, gram)
-            c = _digest(left, right, before, after)
+            left, right = np.minimum(at - low, reach), np.minimum(ends[text] - at, least)
+            c = context_digests(flat, at, left, right, least, gram)
             row, doc, pos = rows[text], order[text], at - low
             by, later = _later(h, c, doc)
             known = by[later]
@@ -293,32 +326,35 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
             deal_by = np.argsort(bucket, kind="stable")
             rest = rest[deal_by]
             cut = np.searchsorted(bucket[deal_by], np.arange(buckets + 1).astype(np.uint64))
-            out = {"bucket": [], "h": [], "c": [], "row": [], "doc": [], "pos": [], "reach": [], "spans": []}
+            out = {"bucket": [], "h": [], "c": [], "text": [], "row": [], "doc": [], "pos": [], "reach": [], "spans": []}
             for b in np.flatnonzero(np.diff(cut)):
                 own = rest[cut[b] : cut[b + 1]]
                 out["bucket"].append(int(b))
                 out["h"].append(h[own].tobytes())
                 out["c"].append(c[own].astype(np.uint32).tobytes())
-                out["row"].append(row[own].tobytes())
-                out["doc"].append(doc[own].tobytes())
-                out["pos"].append(pos[own].astype(np.uint32).tobytes())
+                # texts are named once, and places by their distance, which compress well
+                which, number = np.unique(text[own], return_inverse=True)
+                out["text"].append(number.astype(np.uint32).tobytes())
+                own_rows = rows[which]
+                out["row"].append(b"" if np.array_equal(own_rows, order[which]) else own_rows.tobytes())
+                out["doc"].append(order[which].tobytes())
+                out["pos"].append(np.diff(pos[own], prepend=0).astype(np.int32).tobytes())
                 out["reach"].append((left[own] * 64 + right[own]).astype(np.uint16).tobytes())
                 out["spans"].append(b"")
             if out["spans"]:
                 out["spans"][0] = spans.astype(np.int64).tobytes()
             elif spans.size:
-                for name, value in zip(out, (0, b"", b"", b"", b"", b"", b"", spans.astype(np.int64).tobytes()), strict=True):
+                for name, value in zip(out, (0, b"", b"", b"", b"", b"", b"", b"", spans.astype(np.int64).tobytes()), strict=True):
                     out[name].append(value)
             yield pa.record_batch([pa.array(out["bucket"], pa.int32()), *[pa.array(out[x], pa.binary()) for x in list(out)[1:]]], list(out))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {x: [] for x in ("h", "c", "row", "doc", "pos", "reach")}
+        held: dict[str, list] = {x: [] for x in ("h", "c", "row", "doc", "pos", "reach")}  # arrays
         at = None
 
         def settle() -> Iterator[pa.RecordBatch]:
-            kinds = {"h": np.uint64, "c": np.uint32, "row": np.int64, "doc": np.int64, "pos": np.uint32, "reach": np.uint16}
-            h, c, row, doc, pos, ends = (np.concatenate([np.frombuffer(x, kinds[k]) for x in held[k]]) for k in held)
-            pos, left, right = pos.astype(np.int64), (ends >> 6).astype(np.int64), (ends & 63).astype(np.int64)
+            h, c, row, doc, pos, ends = (np.concatenate(held[k]) for k in held)
+            left, right = (ends >> 6).astype(np.int64), (ends & 63).astype(np.int64)
             by, later = _later(h, c, doc)
             done = by[later]
             if len(done):
@@ -350,27 +386,45 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
                 if r["spans"]:
                     yield _spans(*np.frombuffer(r["spans"], np.int64).reshape(3, -1))
                 if r["h"]:
-                    for k in held:
-                        held[k].append(r[k])
+                    number = np.frombuffer(r["text"], np.uint32)
+                    for k, x in (
+                        ("h", np.frombuffer(r["h"], np.uint64)), ("c", np.frombuffer(r["c"], np.uint32)), ("row", np.frombuffer(r["row"] or r["doc"], np.int64)[number]),
+                        ("doc", np.frombuffer(r["doc"], np.int64)[number]), ("pos", np.cumsum(np.frombuffer(r["pos"], np.int32), dtype=np.int64)), ("reach", np.frombuffer(r["reach"], np.uint16)),
+                    ):
+                        held[k].append(x)
         if held["h"]:
             yield from settle()
 
-    dealt = docs.mapInArrow(deal, "bucket int, h binary, c binary, row binary, doc binary, pos binary, reach binary, spans binary")
+    dealt = docs.mapInArrow(deal, "bucket int, h binary, c binary, text binary, row binary, doc binary, pos binary, reach binary, spans binary")
     found = written(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND), "anchors")
     asked = found.where("anchor IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "crowded")).alias("asked"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "data", 2 << 20):
-            out = {"anchor": [], "row": [], "doc": [], "pos": [], "before": [], "after": [], "crowded": []}
-            for r in batch.to_pylist():
+            out = {"anchor": [], "row": [], "doc": [], "pos": [], "until": [], "before": [], "after": []}
+
+            def add(*values) -> None:
+                for column, value in zip(out.values(), values, strict=True):
+                    column.append(value)
+
+            earliest: dict[bytes, int] = {}
+            for r in sorted(batch.to_pylist(), key=lambda r: r["doc"]):
                 data = r["data"]
                 for a in r["asked"]:
                     p = a["start"]
-                    for name, value in zip(out, (a["anchor"], r["row"], r["doc"], p, data[max(0, p - reach) : p], data[p : p + least], a["crowded"]), strict=True):
-                        out[name].append(value)
-            yield pa.record_batch([*[pa.array(out[x], pa.int64()) for x in ("anchor", "row", "doc", "pos")], *[pa.array(out[x], pa.binary()) for x in ("before", "after")], pa.array(out["crowded"])], list(out))
-
-    seen = docs.join(asked, "row").select("row", "doc", "data", "asked").mapInArrow(look, "anchor bigint, row bigint, doc bigint, pos bigint, before binary, after binary, crowded boolean")
+                    low, high = max(0, p - reach), min(len(data), p + least)
+                    if not a["crowded"]:
+                        add(a["anchor"], r["row"], r["doc"], p, None, data[low:p], data[p:high])
+                        continue
+                    for i in range(low, min(p, high - least) + 1):
+                        string = data[i : i + least]
+                        if earliest.setdefault(string, r["doc"]) < r["doc"]:
+                            add(r["row"], r["row"], r["doc"], i, i + least, None, None)
+                        else:
+                            add(xxhash.xxh64_intdigest(string) - (1 << 63), r["row"], r["doc"], i, None, b"", string)
+            yield pa.record_batch([*[pa.array(out[x], pa.int64()) for x in ("anchor", "row", "doc", "pos", "until")], *[pa.array(out[x], pa.binary()) for x in ("before", "after")]], list(out))
+
+    seen = docs.join(asked, "row").select("row", "doc", "data", "asked").mapInArrow(look, "anchor bigint, row bigint, doc bigint, pos bigint, until bigint, before binary, after binary")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at, last = [], 0, None
@@ -387,6 +441,10 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
                 yield pa.record_batch([pa.array(row[hit]), pa.array(pos[hit] - most[hit]), pa.array(pos[hit] - fewest[hit] + least)], ["row", "start", "until"])
 
         for batch in batches:
+            known = batch.filter(pc.is_valid(batch.column("until")))
+            if known.num_rows:
+                yield pa.record_batch([known.column("row"), known.column("pos"), known.column("until")], ["row", "start", "until"])
+            batch = batch.filter(pc.is_null(batch.column("until")))
             for x in zip(*(batch.column(n).to_pylist() for n in ("anchor", "row", "doc", "pos", "before", "after")), strict=True):
                 if x[0] != last and len(held) >= ROWS:
                     yield from settle()
@@ -396,37 +454,35 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
         if held:
             yield from settle()
 
-    sorted_ = seen.where(~F.col("crowded")).drop("crowded").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(judge, "row bigint, start bigint, until bigint")
-    # each string of a crowded anchor by itself
-    whole = F.concat("before", "after")
-    first = F.greatest(F.octet_length("before") + F.octet_length("after") - least, F.lit(-1))
-    strings = (
-        seen.where("crowded").where(first >= 0)
-        .select("row", "doc", (F.col("pos") - F.octet_length("before")).alias("from"), F.posexplode(F.transform(F.sequence(F.lit(0), F.least(first, F.octet_length("before"))), lambda i: F.substring(whole, i + 1, F.lit(least)))).alias("i", "string"))
-    )
-    earliest = strings.groupBy("string").agg(F.min("doc").alias("earliest"))
-    crowds = strings.join(earliest, "string").where("doc > earliest").select("row", (F.col("from") + F.col("i")).alias("start"), (F.col("from") + F.col("i") + least).alias("until"))
-    return found.where("anchor IS NULL").select("row", "start", "until").unionByName(sorted_).unionByName(crowds)
+    judged = seen.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(judge, "row bigint, start bigint, until bigint")
+    return found.where("anchor IS NULL").select("row", "start", "until").unionByName(judged)
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """The columns of df and _kept (bytes), _bytes, _removed, _spans of each row."""
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, crowd: int = CROWD, as_text: bool = False) -> DataFrame:
+    """The columns of df and _kept, _bytes, _removed, _spans of each row. _kept are
+    the bytes left, or with `as_text` a text, from which a character goes as a
+    whole if it lost some of its bytes. More underscores stand before these names
+    where df has names that begin with one."""
+    p = apart(df)
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    # a row is named by its id, or where ids repeat by a hash of its id and text
+    repeats = bool(df.groupBy(key).count().where("count > 1").limit(1).count())
     order = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
-    rows = df.withColumns({"_data": data, "_doc": order}).withColumn("_row", F.xxhash64("_doc", "_data"))
-    narrow = rows.select("_row", "_doc", F.sha2("_data", 256).alias("_d"), F.octet_length("_data").alias("_n"))
-    long = narrow.where(F.col("_n") >= least)
-    first = long.groupBy("_d").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).where("_first < _last")
-    copies = written(long.join(first.drop("_last"), "_d").where("_doc > _first").select("_row").distinct(), "copies")
-    distinct = rows.where(F.octet_length("_data") >= least).join(copies, "_row", "left_anti").select(F.col("_row").alias("row"), F.col("_doc").alias("doc"), F.col("_data").alias("data"))
-    spans = repeated_spans(distinct, least, gram, crowd).groupBy("row").agg(F.collect_list(F.struct("start", "until")).alias("_cut"))
-    known = spans.withColumn("_copy", F.lit(False)).unionByName(copies.select(F.col("_row").alias("row"), F.array().cast("array<struct<start:bigint,until:bigint>>").alias("_cut"), F.lit(True).alias("_copy")))
-    joined = rows.join(known.withColumnRenamed("row", "_row"), "_row", "left").drop("_row", "_doc")
+    rows = df.withColumns({f"{p}data": data, f"{p}doc": order, f"{p}null": F.col(text).isNull()}).withColumn(f"{p}row", F.xxhash64(f"{p}doc", f"{p}data") if repeats else F.col(f"{p}doc"))
+    named = rows.select(F.col(f"{p}row").alias("row"), F.col(f"{p}doc").alias("doc"), F.col(f"{p}data").alias("data")).where(F.octet_length("data") >= least)
+    long = named.select("row", "doc", F.sha2("data", 256).alias("digest"))
+    first = long.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    copies = written(long.join(first, "digest").where("doc > first").select("row").distinct(), "copies")
+    spans = repeated_spans(named.join(copies, "row", "left_anti"), least, gram, crowd).groupBy("row").agg(F.collect_list(F.struct("start", "until")).alias("cut"))
+    none = F.array().cast("array<struct<start:bigint,until:bigint>>")
+    known = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("row", none.alias("cut"), F.lit(True).alias("copy")))
+    # the text is shuffled once, as its bytes
+    joined = rows.drop(text).join(known.select(F.col("row").alias(f"{p}row"), F.col("cut").alias(f"{p}cut"), F.col("copy").alias(f"{p}copy")), f"{p}row", "left").withColumn(text, F.when(~F.col(f"{p}null"), F.decode(f"{p}data", "UTF-8")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, "_data"):
+        for batch in batches_of(batches, f"{p}data"):
             kept, removed, counts, sizes = [], [], [], []
-            for body, cut, copy in zip(batch.column("_data").to_pylist(), batch.column("_cut").to_pylist(), batch.column("_copy").to_pylist(), strict=True):
+            for body, cut, copy in zip(*(batch.column(f"{p}{x}").to_pylist() for x in ("data", "cut", "copy")), strict=True):
                 sizes.append(len(body))
                 if copy:
                     kept.append(b"")
@@ -441,14 +497,12 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
                 kept.append(b"".join(parts))
                 removed.append(gone)
                 counts.append(n)
-            own = [i for i, name in enumerate(batch.schema.names) if name not in ("_data", "_cut", "_copy")]
-            yield pa.record_batch(
-                [*[batch.column(i) for i in own], pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())],
-                [*[batch.schema.names[i] for i in own], "_kept", "_bytes", "_removed", "_spans"],
-            )
+            texts = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            new = [texts, *(pa.array(x, pa.int64()) for x in (sizes, removed, counts))]
+            yield pa.record_batch([*batch.columns[:-3], *new], [*batch.schema.names[:-3], *(p + x for x in ("kept", "bytes", "removed", "spans"))])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.select(*df.columns, "_data", "_cut", "_copy").mapInArrow(keep, f"{fields}, _kept binary, _bytes bigint, _removed bigint, _spans bigint")
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{p}kept {'string' if as_text else 'binary'}", *(f"{p}{x} bigint" for x in ("bytes", "removed", "spans"))])
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), f"{p}data", f"{p}cut", f"{p}copy").mapInArrow(keep, fields)
 
 
 def union(spans: list[dict]) -> list[tuple[int, int]]:
@@ -459,12 +513,3 @@ def union(spans: list[dict]) -> list[tuple[int, int]]:
         else:
             out.append([start, until])
     return [(a, b) for a, b in out]
-
-
-def repaired(kept: bytes) -> str:
-    """Kept bytes as text; a character that lost a part of its bytes goes as a whole."""
-    return kept.decode("utf-8", "ignore")
-
-
-def kept_digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
