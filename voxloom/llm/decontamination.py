@@ -48,7 +48,7 @@ class Words:
 
     def __init__(self):
         self.hashes = Growing(np.uint32)
-        self.memory = WordMemory(self._learn, self.hashes.clear, 400_000)
+        self.memory = WordMemory(self._learn, self.hashes.clear, 250_000)
 
     def _learn(self, words: list[str]) -> None:
         self.hashes.extend(np.fromiter((xxhash.xxh32_intdigest(w.lower().strip(PUNCTUATION) or w) for w in words), np.uint32, len(words)))

@@ -49,7 +49,7 @@ class Shingles:
 
     def __init__(self, words: int = WORDS):
         self.words, self.hashes = words, Growing(np.uint64)
-        self.memory = WordMemory(self._learn, self.hashes.clear, 400_000)
+        self.memory = WordMemory(self._learn, self.hashes.clear, 250_000)
 
     def _learn(self, words: list[str]) -> None:
         self.hashes.extend(np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)))

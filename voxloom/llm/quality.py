@@ -28,6 +28,7 @@ from voxloom.llm.words import Growing, WordMemory, runs_at
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 EPOCHS = 8
+STEPS = 12_000  # at least so many, however few the labelled rows
 RATE = 0.6
 SAMPLE = 4_000
 THRESHOLD = 0.3
@@ -120,6 +121,7 @@ def trained(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKE
     output = np.zeros((2, dimensions), np.float32)
     n = np.array([sum(1 for r in rows if r[2] == c) for c in (0, 1)], np.float64)
     bias = np.log((n + 1e-6) / (n.sum() + 2e-6)).astype(np.float32) if n.sum() else np.zeros(2, np.float32)
+    epochs = max(epochs, -(-STEPS // max(1, len(rows))))
     steps, step = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for i in random.permutation(len(rows)):
@@ -146,7 +148,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.buckets = model, len(model.weight)
         self.sums, self.sizes, self.hashes = Growing(np.float64), Growing(np.int64), Growing(np.uint64)
-        self.memory = WordMemory(self._learn, self._forget, 400_000)
+        self.memory = WordMemory(self._learn, self._forget, 250_000)
 
     def _learn(self, words: list[str]) -> None:
         ids, sizes, hashes = word_features(words, self.buckets)

@@ -214,17 +214,34 @@ def earlier_strings(group: np.ndarray, doc: np.ndarray, left: np.ndarray, right:
     return most, fewest
 
 
+AT_ONCE = 1 << 18  # string starts looked at together
+
+
 def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and place of each anchor of texts that lie one after another in `flat`, and its text's number."""
     n = int(ends[-1]) if len(ends) else 0
-    if n < least:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    count = n - gram + 1
-    words = np.lib.stride_tricks.sliding_window_view(np.r_[flat[:n], np.zeros(8, np.uint8)], 8)[: n + 1].copy().view(np.uint64).ravel()
+    hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for low in range(0, n - least + 1, AT_ONCE):
+        part = flat[low : min(n, low + AT_ONCE + least - 1)]
+        h, at = _lowest(part, least, gram)
+        text = np.searchsorted(ends, low + np.arange(len(at)), side="right")
+        # strings that run on into the next text are none
+        found = np.unique(at[ends[text] - low - np.arange(len(at)) >= least])
+        hashes.append(h[found])
+        places.append(low + found)
+    at, first = np.unique(np.concatenate(places), return_index=True)
+    return np.concatenate(hashes)[first], at, np.searchsorted(ends, at, side="right")
+
+
+def _lowest(flat: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the gram at each place, and for each string the place of its lowest, the first of equals."""
+    count = len(flat) - gram + 1
+    words = np.lib.stride_tricks.sliding_window_view(flat, 8).copy().view(np.uint64).ravel()
     with np.errstate(over="ignore"):
         h = words[:count] * _M[0]
         h ^= h >> np.uint64(29)
-        h = (h + words[gram - 8 : gram - 8 + count]) * _M[1]
+        h += words[gram - 8 : gram - 8 + count]
+        h *= _M[1]
         h ^= h >> np.uint64(32)
         h *= _M[2]
     lowest = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(count, dtype=np.uint64)
@@ -234,10 +251,7 @@ def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int =
         done *= 2
     if done < window:
         lowest = np.minimum(lowest[: len(lowest) - (window - done)], lowest[window - done :])
-    at = (lowest & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of the string that starts here
-    from_start = np.repeat(ends, ends - starts)[: len(at)] - np.arange(len(at))
-    at = np.unique(at[from_start >= least])
-    return h[at], at, np.searchsorted(ends, at, side="right")
+    return h, (lowest & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def context_digests(flat: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, least: int = LEAST, gram: int = GRAM) -> np.ndarray:
