@@ -19,7 +19,7 @@ from voxloom.llm.graph import components
 from voxloom.llm.jaccard import jaccard_join, least_matches
 from voxloom.llm.quality import fit, quality_scores, scored
 from voxloom.llm.queries import QUERIES, SQL
-from voxloom.llm.suffix_dedup import deduplicated, suffix_array
+from voxloom.llm.suffix_dedup import _lowest, anchors, context_digests, deduplicated, suffix_array
 from voxloom.llm.token_counts import count_tokens, spliced
 
 SMALL = "/root/testdata/sf0.001"
@@ -102,6 +102,30 @@ def test_crowded_anchors_give_the_same_rows(spark, crowd):
         assert bytes(got[i]) == bytes(c for p, c in enumerate(b) if p not in gone)
 
 
+def test_contexts_that_share_half_a_digest_stay(spark):
+    """Two contexts of one anchor whose digests agree in the lower 32 bits alone."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    r = np.random.default_rng(3)
+    grams = letters[r.integers(0, 26, (1 << 16) * 16)]
+    h = _lowest(grams, 50, 16)[0]
+    best = int((h >> np.uint64(32)).argmin())
+    n, size = 200_000, 84
+    texts = letters[r.integers(0, 26, (n, size))]
+    texts[:, 34:50] = grams[best : best + 16]
+    flat, starts = texts.ravel(), np.arange(n) * size
+    _, at, text = anchors(flat, starts, starts + size)
+    sole = np.flatnonzero((np.bincount(text, minlength=n) == 1)[text] & (at - starts[text] == 34))
+    at, text = at[sole], text[sole]
+    c = context_digests(flat, at, np.full(len(at), 34), np.full(len(at), 50))
+    by = np.argsort(c & np.uint64(0xFFFFFFFF), kind="stable")
+    twin = int(np.flatnonzero(np.diff(c[by] & np.uint64(0xFFFFFFFF)) == 0)[0])
+    pair = [texts[text[by[twin + i]]].tobytes().decode() for i in (0, 1)]
+    assert pair[0] != pair[1]
+    # each slice of texts is settled by itself, so the two come from partitions of their own
+    frame = spark.createDataFrame(list(enumerate(pair)), "doc_id bigint, text string").repartitionByRange(2, "doc_id")
+    assert {x["doc_id"]: x["_removed"] for x in deduplicated(frame).collect()} == {0: 0, 1: 0}
+
+
 @pytest.mark.parametrize("bounds", [[], [5], list(range(0, 60, 7)), [-(1 << 63), 0, 1 << 62]])
 def test_ranges_are_those_of_bisection(spark, bounds):
     keys = [-(1 << 63), -1, 0, 1, 5, 6, 7, 13, 14, 59, 100, 1 << 62, (1 << 63) - 1]

@@ -5,8 +5,10 @@ it whose hash is the smallest, so equal strings have equal anchors at equal
 places, and an anchor with the bytes within reach (its context) decides about
 all strings it owns. Anchors of distinct texts are dealt by hash; those whose
 whole context stands in an earlier document are settled at once, first within a
-slice of texts, before the shuffle. Only anchors that several documents share
-with differing contexts need bytes. Their contexts are sorted by suffix arrays
+slice of texts, before the shuffle. A context is known by all 64 bits of its
+digest, and an anchor by its bucket and 32 bits of its hash: two anchors that
+agree in those only ask for their bytes. Only anchors that several documents
+share with differing contexts need bytes. Their contexts are sorted by suffix arrays
 over both directions from the anchor, and strings of the anchor are equal where
 the common prefixes to the right and to the left are long enough together.
 
@@ -336,7 +338,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
             known = by[later]
             spans = np.stack(_merged(row[known], (pos - left)[known], (pos + right)[known]))
             rest = np.sort(by[~later])
-            bucket = (h[rest] >> np.uint64(20)) % np.uint64(buckets)
+            # the upper half of an anchor's hash deals it, the lower half names it in its bucket
+            bucket = (h[rest] >> np.uint64(32)) % np.uint64(buckets)
             deal_by = np.argsort(bucket, kind="stable")
             rest = rest[deal_by]
             cut = np.searchsorted(bucket[deal_by], np.arange(buckets + 1).astype(np.uint64))
@@ -344,8 +347,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
             for b in np.flatnonzero(np.diff(cut)):
                 own = rest[cut[b] : cut[b + 1]]
                 out["bucket"].append(int(b))
-                out["h"].append(h[own].tobytes())
-                out["c"].append(c[own].astype(np.uint32).tobytes())
+                out["h"].append(h[own].astype(np.uint32).tobytes())
+                out["c"].append(c[own].tobytes())
                 # texts are named once, and places by their distance, which compress well
                 which, number = np.unique(text[own], return_inverse=True)
                 out["text"].append(number.astype(np.uint32).tobytes())
@@ -387,7 +390,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
             if len(own):
                 crowded = np.repeat(differ > crowd, sizes)[ask]
                 yield pa.record_batch(
-                    [pa.array(row[own]), pa.array(doc[own]), pa.array(pos[own]), pa.nulls(len(own), pa.int64()), pa.array(h[own].view(np.int64)), pa.array(crowded)],
+                    [pa.array(row[own]), pa.array(doc[own]), pa.array(pos[own]), pa.nulls(len(own), pa.int64()), pa.array(np.int64(at) << 32 | h[own].astype(np.int64)), pa.array(crowded)],
                     ["row", "doc", "start", "until", "anchor", "crowded"],
                 )
 
@@ -402,7 +405,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
                 if r["h"]:
                     number = np.frombuffer(r["text"], np.uint32)
                     for k, x in (
-                        ("h", np.frombuffer(r["h"], np.uint64)), ("c", np.frombuffer(r["c"], np.uint32)), ("row", np.frombuffer(r["row"] or r["doc"], np.int64)[number]),
+                        ("h", np.frombuffer(r["h"], np.uint32)), ("c", np.frombuffer(r["c"], np.uint64)), ("row", np.frombuffer(r["row"] or r["doc"], np.int64)[number]),
                         ("doc", np.frombuffer(r["doc"], np.int64)[number]), ("pos", np.cumsum(np.frombuffer(r["pos"], np.int32), dtype=np.int64)), ("reach", np.frombuffer(r["reach"], np.uint16)),
                     ):
                         held[k].append(x)
