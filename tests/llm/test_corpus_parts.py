@@ -155,6 +155,18 @@ def test_blocks_change_nothing_but_the_tasks(spark):
     assert {i: n for i, (_, n) in whole.items()} == {i: sum(5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
 
 
+def test_items_of_any_length_are_found(spark):
+    r = random.Random(11)
+    items = {n: " ".join(f"x{n}_{i}" if n < 10 else f"w{r.randrange(900)}" for i in range(n)) for n in (1, 3, 9, 110, 300, 500, 1200)}
+    texts = [words(r, 400, 900) for _ in range(40)] + [f"{words(r, 170, 900)} {t} {words(r, 230, 900)}" for t in items.values()]
+    found = decontamination.leaks(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    ).collect()
+    assert {(x["doc_id"], x["item_id"], x["share"]) for x in found} == {(40 + i, n, 1.0) for i, n in enumerate(items)}
+    old = (10, 16, 26, 42, 68, 110)
+    assert all(decontamination.window_for(n) == min(old, key=lambda s: abs(np.log(s / n))) for n in range(10, 138))
+
+
 def test_pruning_keeps_pairs_that_may_reach_the_threshold():
     least = least_matches(125, 25, 0.8, 1e-6)
     assert all(0 <= least[n] < 0.8 * n for n in least)

@@ -6,8 +6,9 @@ adds up its share of (A'A)R for a random R, the shares are summed by row chunks,
 and the driver turns the summed sketch, a matrix of fixed size, into the right
 singular vectors (Nystroem form). Passages and benchmark items are compared in
 the whitened latent space. As the map is linear, windows of any length are
-differences of running sums, so each item meets windows near its own length at
-a stride of a sixth of it, over every document. Pairs whose cosine reaches
+differences of running sums, so each item meets windows near its own length,
+however short or long it is, at a stride of a sixth of it, over every document.
+A window is checked with half of itself on each side, at least 1.5 times the item. Pairs whose cosine reaches
 `near` are candidates, and all of them are checked by the longest common
 subsequence with the item: a share of `copied` or more is a leak, a share of
 `reworded` or more is one if the item's answer stands there too, its last
@@ -33,7 +34,7 @@ from voxloom.llm.words import Growing, WordMemory, runs_at
 BITS = 15
 RANK = 64
 PASSAGE = 32
-SCALES = (10, 16, 26, 42, 68, 110)
+SHORT, GROWTH = 10, 11**0.2  # windows from SHORT words on: 10, 16, 26, 42, 68, 110, 178 and so on
 STRIDE = 6
 NEAR = 0.65
 COPIED, REWORDED, ANSWER = 0.75, 0.6, 0.8
@@ -180,6 +181,11 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def window_for(n: int) -> int:
+    """The window for an item of n words: as long for a short one, else the nearest step, at most 1.3 times longer or shorter."""
+    return n if n < SHORT else round(SHORT * GROWTH ** round(np.log(n / SHORT) / np.log(GROWTH)))
+
+
 def answer_of(text: str) -> str:
     """The last sentence of an item that has several, or its second half."""
     cut = max(text.rstrip(".!? \n").rfind(mark) for mark in (". ", ".\n", "? ", "?\n", "! ", "!\n"))
@@ -208,10 +214,10 @@ def leaks(
     mapped = latent_map(docs, weights, rank, bits)
     words = Words()
     queries = [q for r in benchmark.select(item, item_text).orderBy(item, item_text).collect() if (q := Query(r[0], r[1] or "", words)).list]
-    scale = [min(SCALES, key=lambda s, n=len(q.list): abs(np.log(s / n))) for q in queries]
+    scale = [window_for(len(q.list)) for q in queries]
     placed = np.array([mapped[(q.words >> np.uint32(32 - bits)).astype(np.int64)].sum(axis=0) for q in queries], np.float32).reshape(len(queries), mapped.shape[1])
     placed /= np.maximum(np.linalg.norm(placed, axis=1, keepdims=True), 1e-12)
-    by_scale = [(s, np.flatnonzero(np.array(scale) == s)) for s in SCALES if s in scale]
+    by_scale = [(s, np.flatnonzero(np.array(scale) == s)) for s in sorted(set(scale))]
     sent = df.sparkSession.sparkContext.broadcast((mapped, placed, queries, by_scale))
     kinds = df.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
 
