@@ -167,6 +167,33 @@ def test_items_of_any_length_are_found(spark):
     assert all(decontamination.window_for(n) == min(old, key=lambda s: abs(np.log(s / n))) for n in range(10, 138))
 
 
+def test_spans_of_long_texts_hold_every_stretch():
+    r = np.random.default_rng(2)
+    for sizes in ([3, 0, 5], [500], [7, 100, 130, 131, 2, 400, 1], [0], [100, 100]):
+        texts = [r.integers(0, 1 << 32, n, np.uint32) for n in sizes]
+        got = list(decontamination.spans(texts, 30, 100))
+        assert all(len(words_) == lengths.sum() <= 130 for _, _, lengths, words_ in got)
+        seen = {i: [] for i in range(len(sizes))}
+        for first, low, lengths, words_ in got:
+            for i, part in enumerate(np.split(words_, np.cumsum(lengths)[:-1])):
+                assert np.array_equal(part, texts[first + i][low : low + len(part)])
+                seen[first + i].append((low, low + len(part)))
+        for i, n in enumerate(sizes):
+            assert all(any(a <= at and at + 30 <= b for a, b in seen[i]) for at in range(n - 29))
+            assert min(a for a, _ in seen[i]) == 0 and max(b for _, b in seen[i]) == n
+        whole = list(decontamination.spans(texts, 0, 96))
+        assert sum(len(words_) for *_, words_ in whole) == sum(sizes) and all(low % 32 == 0 for _, low, _, _ in whole)
+
+
+def test_items_are_found_once_in_a_long_text(spark):
+    r = random.Random(12)
+    item = words(r, 60, 900)
+    texts = [words(r, 400, 900) for _ in range(30)] + [f"{words(r, 2 * decontamination.SLICE - 20, 900)} {item} {words(r, 70_000, 900)} {item} end"]
+    found = decontamination.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert [(x["doc_id"], x["item_id"], x["share"]) for x in found] == [(30, 1, 1.0)]
+    assert abs(found[0]["at"] - (2 * decontamination.SLICE - 20)) < 110
+
+
 def test_pruning_keeps_pairs_that_may_reach_the_threshold():
     least = least_matches(125, 25, 0.8, 1e-6)
     assert all(0 <= least[n] < 0.8 * n for n in least)

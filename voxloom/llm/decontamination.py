@@ -14,6 +14,9 @@ subsequence with the item: a share of `copied` or more is a leak, a share of
 `reworded` or more is one if the item's answer stands there too, its last
 sentence. There is no cap on candidates.
 
+A long text is read in spans that overlap by the longest stretch checked, and
+running sums start anew in each, so a text of any length takes bounded memory.
+
 Null and empty texts match nothing; an item without words, or a null one, is no
 query; equal items are found each. Repeated rows yield a row for their key.
 """
@@ -40,7 +43,7 @@ NEAR = 0.65
 COPIED, REWORDED, ANSWER = 0.75, 0.6, 0.8
 CHUNKS = 64
 SEED = 41
-SLICE = 64_000  # words handled at a time
+SLICE = 64_000  # words handled at a time, a multiple of PASSAGE
 PUNCTUATION = ".,;:!?\"'()[]{}|-_*/\\<>«»…"
 
 
@@ -71,11 +74,31 @@ def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
     return written(df.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).mapInArrow(made, f"_k {kind}, words binary"), "word-hashes")
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Keys, the number of words of each text, and all their words, some texts at a time."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The number of words of each text, and all their words, some texts or a span of a long one at a time."""
     for batch in batches_of(batches, "words", 4 * SLICE):
         texts = [np.frombuffer(b, np.uint32) for b in batch.column("words").to_pylist()]
-        yield batch.column("_k").to_pylist(), np.array([len(t) for t in texts], np.int64), np.concatenate(texts)
+        for _, _, lengths, words in spans(texts, 0):
+            yield lengths, words
+
+
+def spans(texts: list[np.ndarray], overlap: int, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The texts' words, some texts at a time and those of a long text in spans of
+    `most` words besides the overlap: the first text's number, the place of its
+    first word in it, and each text's number of words and all words."""
+    first, held = 0, 0
+    for i, t in enumerate([*texts, None]):
+        if i > first and (t is None or held + len(t) > most):
+            yield first, 0, np.array([len(x) for x in texts[first:i]], np.int64), np.concatenate(texts[first:i])
+            first, held = i, 0
+        if t is None:
+            return
+        held += len(t)
+        if len(t) > most + overlap:
+            for low in range(0, len(t) - overlap, most):
+                part = t[low : low + most + overlap]
+                yield i, low, np.array([len(part)], np.int64), part
+            first, held = i + 1, 0
 
 
 def _chunked(total: np.ndarray) -> pa.RecordBatch:
@@ -109,7 +132,7 @@ def inverse_frequencies(docs: DataFrame, bits: int = BITS) -> np.ndarray:
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + CHUNKS, np.int64)
-        for _, lengths, words in slices(batches):
+        for lengths, words in slices(batches):
             n, at = passages(lengths)
             found = np.unique(at << bits | (words >> np.uint32(32 - bits)).astype(np.int64)) & (size - 1)
             total[:size] += np.bincount(found, minlength=size)
@@ -141,7 +164,7 @@ def latent_map(docs: DataFrame, weights: np.ndarray, rank: int = RANK, bits: int
         weight = sent.value
         test = probe() * weight[:, None]
         total = np.zeros((size, rank), np.float32)
-        for _, lengths, words in slices(batches):
+        for lengths, words in slices(batches):
             if not len(words):
                 continue
             # a word counts once in a passage, so that runs of one word do not lead the axes
@@ -223,15 +246,21 @@ def leaks(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, vectors, asked, scales = sent.value
-        for batch in batches:
-            kind = batch.schema.field("_k").type
-            for keys, lengths, hashes in slices(iter([batch])):
-                found = list(within(keys, lengths, hashes, own, vectors, asked, scales))
-                if found:
-                    columns = list(zip(*found, strict=True))
-                    yield pa.record_batch([pa.array(columns[0], kind), pa.array(columns[1]), *[pa.array(c, t) for c, t in zip(columns[2:], (pa.float64(), pa.float64(), pa.int64()), strict=True)]], ["_k", "_item", "share", "answer_share", "at"])
-
-    def within(keys, lengths, hashes, own, vectors, asked, scales):
+        # whatever is checked lies whole in a span, with its window and what stands beside it
+        overlap = max((size + 2 * max(4, size // 2) for size, _ in scales), default=0)
+        for batch in batches_of(batches, "words", 4 * SLICE):
+            kind, keys = batch.schema.field("_k").type, batch.column("_k").to_pylist()
+            best: dict[tuple, tuple] = {}
+            for first, low, lengths, hashes in spans([np.frombuffer(b, np.uint32) for b in batch.column("words").to_pylist()], overlap):
+                for d, q, share, told, at in within(lengths, hashes, own, vectors, asked, scales):
+                    now = (share, told, -(low + at))
+                    best[first + d, q] = max(best.get((first + d, q), now), now)
+            if best:
+                found = [(keys[d], asked[q].item_id, share, told, -at) for (d, q), (share, told, at) in best.items()]
+                columns = list(zip(*found, strict=True))
+                yield pa.record_batch([pa.array(columns[0], kind), pa.array(columns[1]), *[pa.array(c, t) for c, t in zip(columns[2:], (pa.float64(), pa.float64(), pa.int64()), strict=True)]], ["_k", "_item", "share", "answer_share", "at"])
+
+    def within(lengths, hashes, own, vectors, asked, scales):
         if not len(hashes):
             return
         ends = np.cumsum(lengths)
@@ -264,7 +293,7 @@ def leaks(
                     now = (share, told, -(low - int(starts[d])))
                     best[name] = max(best.get(name, now), now)
         for (d, q), (share, told, at_) in best.items():
-            yield keys[d], asked[q].item_id, share, told, -at_
+            yield d, q, share, told, -at_
 
     found = docs.mapInArrow(search, f"_k {kinds[0]}, _item {kinds[1]}, share double, answer_share double, at bigint")
     return found.withColumnsRenamed({"_k": key, "_item": item})
