@@ -95,11 +95,13 @@ def _apply(spark, sf_dir):
 
 
 def _rank(spark, sf_dir):
-    said = targets(spark, sf_dir).where(F.col("w") == 1)
+    """Each word's readings over its own ten frames and two more on either side."""
+    said, frame = targets(spark, sf_dir), F.col("w") * 10
     ways = F.array(F.col("ids"), F.reverse("ids"), F.slice("ids", 1, 1))
-    readings = said.select("utt", F.lit(0).alias("phrase"), F.posexplode(ways).alias("rank", "way")).select(
-        "utt", "phrase", "rank", F.lit(0.16).alias("start"), F.lit(0.44).alias("end"),
-        F.array(F.struct(F.lit(1).alias("w"), F.col("way").alias("ids"))).alias("parts"),
+    readings = said.select("utt", F.col("w").alias("phrase"), ((frame - 2) * 0.02).alias("start"), ((frame + 12) * 0.02).alias("end"),
+        F.posexplode(ways).alias("rank", "way"),
+    ).select(
+        "utt", "phrase", "rank", "start", "end", F.array(F.struct(F.col("phrase").alias("w"), F.col("way").alias("ids"))).alias("parts"),
     )
     ranked = al.rank_readings(emission(spark, sf_dir), readings, blank=BLANK, separator=SEPARATOR)
     return ranked.select("utt", "phrase", "rank", F.round("score", 4).alias("score"), "best")
