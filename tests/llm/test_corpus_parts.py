@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.llm import chat, decontamination, packing, token_files, warc
+from voxloom.llm import chat, decontamination, packing, quality, token_files, warc
 from voxloom.llm.common import range_of
 from voxloom.llm.encoders import encoder
 from voxloom.llm.fingerprints import edited_pairs, fingerprints, likeness
@@ -194,6 +194,13 @@ def test_items_are_found_once_in_a_long_text(spark):
     assert abs(found[0]["at"] - (2 * decontamination.SLICE - 20)) < 110
 
 
+def test_training_counts_are_those_of_the_text(spark, monkeypatch):
+    monkeypatch.setattr(quality, "trained", lambda rows, buckets: rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id bigint, quality int")
+    rows = fit(labels.select("doc_id", F.lit("a " * 70_000).alias("text")), labels)
+    assert rows and all(counts.max() >= 69_999 for _, counts, _ in rows)
+
+
 def test_pruning_keeps_pairs_that_may_reach_the_threshold():
     least = least_matches(125, 25, 0.8, 1e-6)
     assert all(0 <= least[n] < 0.8 * n for n in least)

@@ -187,14 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
         for batch in batches_of(batches, "_t"):
             pairs = [features.of(t) for t in texts_of(batch.column("_t"))]
             yield pa.record_batch(
-                [batch.column(key), batch.column("_label"), pa.array([a.tobytes() for a, _ in pairs], pa.binary()), pa.array([np.minimum(b, 65535).astype(np.uint16).tobytes() for _, b in pairs], pa.binary())],
+                [batch.column(key), batch.column("_label"), pa.array([a.tobytes() for a, _ in pairs], pa.binary()), pa.array([b.tobytes() for _, b in pairs], pa.binary())],
                 [key, "_label", "ids", "counts"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
     got = rows.mapInArrow(found, f"`{key}` {kind}, _label int, ids binary, counts binary").toArrow().to_pydict()
     order = sorted(range(len(got[key])), key=lambda i: (got[key][i], got["ids"][i]))
-    return trained([(np.frombuffer(got["ids"][i], np.int32), np.frombuffer(got["counts"][i], np.uint16).astype(np.int64), int(got["_label"][i] > 0)) for i in order], buckets)
+    return trained([(np.frombuffer(got["ids"][i], np.int32), np.frombuffer(got["counts"][i], np.int32).astype(np.int64), int(got["_label"][i] > 0)) for i in order], buckets)
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
