@@ -10,12 +10,15 @@ from voxloom.llm.common import table
 from voxloom.llm.decontamination import leaks
 from voxloom.llm.fingerprints import edited_pairs
 from voxloom.llm.jaccard import jaccard_join
+from voxloom.llm.language import language_id
 from voxloom.llm.packing import pack
 from voxloom.llm.quality import quality_scores
+from voxloom.llm.search import ranked_search
 from voxloom.llm.suffix_dedup import deduplicated
 from voxloom.llm.token_files import through_files
 from voxloom.llm.token_counts import count_tokens
 from voxloom.llm.warc import archived
+from voxloom.llm.whitening import whitened
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,5 +110,44 @@ SELECT conv_id, count(*) AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_fingerprints": op2_fingerprints, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_token_files": op6_token_files, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op9_decontamination": op9_decontamination, "op10_chat_formatting": op10_chat_formatting}
-SQL = {"op5_warc": OP5_SQL, "op10_chat_formatting": OP10_SQL}
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT doc_id, w, len(w) AS n FROM words WHERE len(w) > 0),
+whole AS (SELECT count(*) AS n_all, sum(n)::BIGINT AS terms_all FROM docs),
+postings AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs) GROUP BY doc_id, n, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), whole),
+asked AS (
+  SELECT item_id, term, count(*) AS said FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY item_id, term),
+scores AS (
+  SELECT item_id, doc_id, sum(said * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_all) // terms_all))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term), whole GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0) WHERE rank <= 10"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 largest components, whitened."""
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from labels outside the held-out fold."""
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_fingerprints": op2_fingerprints, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_token_files": op6_token_files, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op9_decontamination": op9_decontamination,
+           "op10_chat_formatting": op10_chat_formatting,
+           "op11_lexical_search": op11_lexical_search, "op12_whitening": op12_whitening, "op13_language": op13_language}
+SQL = {"op5_warc": OP5_SQL, "op10_chat_formatting": OP10_SQL, "op11_lexical_search": OP11_SQL}
