@@ -334,3 +334,27 @@ def test_same_rows_as_sql(spark, name):
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(found.columns)
     assert sorted(map(str, cursor.fetchall())) == sorted(str(tuple(r[c] for c in columns)) for r in found.collect())
+
+
+def test_links_of_null_and_repeated_ids(spark):
+    """A row's links are those of its own text, whatever its id."""
+    r = random.Random(11)
+    base = [words(r, 60).split() for _ in range(2)]
+    near = [" ".join(b[:-1] + [f"x{i}"]) for b in base for i in range(3)]
+    rows = [(None, near[0]), (None, near[1]), (7, near[2]), (9, near[3]), (9, words(r, 50)), (10, near[4]), (11, near[5]), (None, words(r, 30))]
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((x["doc_id"], x["class_id"], x["n_links"]) for x in got), key=str) == sorted(
+        [(None, 7, 2), (None, 7, 2), (7, 7, 2), (9, 9, 2), (9, 9, 0), (10, 9, 2), (11, 9, 2), (None, None, 0)], key=str
+    )
+
+
+@pytest.mark.parametrize("kinds", [1 << 17, (1 << 17) + 1, 300_000])
+def test_files_of_very_many_distinct_ids(kinds):
+    ids = np.random.default_rng(2).permutation(kinds).astype(np.uint32)
+    keys, lengths, back = token_files.unpack_file(token_files.pack_file([1, 2], np.array([5, kinds - 5]), ids, {}))
+    assert keys == [1, 2] and lengths.tolist() == [5, kinds - 5] and np.array_equal(back, ids)
+
+
+def test_more_distinct_ids_than_can_be_coded_are_refused():
+    with pytest.raises(ValueError, match="distinct ids"):
+        token_files.order0(np.arange((1 << token_files.WIDEST0) + 1, dtype=np.uint32))

@@ -14,8 +14,9 @@ with a chance of 5e-5, and one above it with less; pruning adds `tolerance`.
 
 Words are the lower-case text cut at white space. A text of fewer words than a
 shingle has one shingle, all its words; null texts, empty ones and white space
-are one set without shingles, alike to one another and to nothing else. Equal
-ids and repeated rows get a row each; other columns play no part.
+are one set without shingles, alike to one another and to nothing else. Null
+ids, equal ids and repeated rows get a row each, judged by its own text; a class
+of null ids alone has a null class_id. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def least_matches(values: int, step: int, threshold: float, tolerance: float) ->
 
 
 def sketches(df: DataFrame, key: str, text: str, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """_k, node (hash of the shingle set), n_shingles, sig and the hashes of its bands."""
+    """_k, _h (hash of the text), node (hash of the shingle set), n_shingles, sig and the hashes of its bands."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, by = Shingles(words), multipliers(bands * rows)
@@ -110,16 +111,22 @@ def sketches(df: DataFrame, key: str, text: str, words: int = WORDS, bands: int
                 sigs.append(sig.tobytes())
                 cut.append([xxhash.xxh64_intdigest(sig[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)] if len(own) else [])
             yield pa.record_batch(
-                [batch.column("_k"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), pa.array(sigs, pa.binary()),
+                [batch.column("_k"), batch.column("_h"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), pa.array(sigs, pa.binary()),
                  pa.array([np.array(c, np.uint64).view(np.int64) for c in cut], pa.list_(pa.int64()))],
-                ["_k", "node", "n_shingles", "sig", "bands"],
+                ["_k", "_h", "node", "n_shingles", "sig", "bands"],
             )
 
     kind = df.schema[key].dataType.simpleString()
-    made = df.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).mapInArrow(sketch, f"_k {kind}, node bigint, n_shingles int, sig binary, bands array<bigint>")
+    made = _texts(df, key, text).mapInArrow(sketch, f"_k {kind}, _h bigint, node bigint, n_shingles int, sig binary, bands array<bigint>")
     return settled(made)
 
 
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """_k, _t and _h, which together with _k names the text where keys repeat or are null."""
+    rows = df.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    return rows.withColumn("_h", F.xxhash64("_t"))
+
+
 def linked_in_blocks(members: DataFrame, words: int, bands: int, rows: int, threshold: tuple[int, int], step: int, tolerance: float, block: int) -> DataFrame:
     """node, links, root for each node of members(node, root, copies, sig, _t)
     and each meeting of two blocks: the weight of its links there, and the least
@@ -228,16 +235,19 @@ def jaccard_join(
     """key, class_id, n_links, n_copies for each row: the least key of all that links
     connect it to, how many other rows it is linked to, and how many have its set."""
     every = sketches(df, key, text, words, bands, rows)
-    nodes = every.groupBy("node").agg(F.min("_k").alias("_k"), F.count(F.lit(1)).alias("copies"))
-    # one row of those that have the set; rows that repeat a key and its set are equal in all that is used
-    kept = every.join(nodes, ["node", "_k"]).dropDuplicates(["node"])
+    nodes = every.groupBy("node").agg(F.min("_k").alias("_k"), F.min(F.struct("_k", "_h")).alias("_rep"), F.count(F.lit(1)).alias("copies"))
+    # one row of those that have the set, by its key and its text
+    named = nodes.select(F.col("node").alias("_node"), "copies", F.col("_rep._k").alias("_rk"), F.col("_rep._h").alias("_rh"))
+    repeats = _repeats(every)
+    kept = every.join(named, F.expr("node = _node AND _k <=> _rk AND _h = _rh")).select("node", "_rk", "_rh", "copies", "sig", "bands")
+    kept = kept.dropDuplicates(["node"]) if repeats else kept
     banded = kept.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     candidates = components(banded.join(buckets, "band").select(F.col("node").alias("u"), "v"))
-    members = kept.join(candidates, "node").select("node", "root", "copies", "sig", F.col("_k").alias("_rep"))
-    texts = df.select(F.col(key).alias("_rep"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    named = texts.join(members, "_rep").dropDuplicates(["node"]) if _repeats(every) else texts.join(members, "_rep")
-    links = settled(linked_in_blocks(named, words, bands, rows, threshold, step, tolerance, block))
+    members = kept.join(candidates, "node").select("node", "root", "copies", "sig", "_rk", "_rh")
+    whole = _texts(df, key, text).join(members, F.expr("_k <=> _rk AND _h = _rh")).select("node", "root", "copies", "sig", "_t")
+    whole = whole.dropDuplicates(["node"]) if repeats else whole
+    links = settled(linked_in_blocks(whole, words, bands, rows, threshold, step, tolerance, block))
     groups = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     sums = links.groupBy("node").agg(F.sum("links").alias("links")).join(groups, "node", "left")
     seen = nodes.join(sums, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -247,5 +257,5 @@ def jaccard_join(
 
 
 def _repeats(every: DataFrame) -> bool:
-    """Whether a key stands in more than one row, so that a key does not name a text."""
-    return bool(every.groupBy("_k").count().where("count > 1").limit(1).count())
+    """Whether a key and a text stand in more than one row, so that they name more than one."""
+    return bool(every.groupBy("_k", "_h").count().where("count > 1").limit(1).count())

@@ -37,16 +37,21 @@ END = 0
 TABLE_BITS = 12
 RATE = 4
 SCALE0 = 18  # bits of the order-0 distribution
+WIDEST0 = 20  # its bits in a file of more ids than SCALE0 has room for; beyond, the range of 32 bits is used up
 ONE = 4096
 _A, _B = np.uint32(2654435761), np.uint32(2246822519)
 
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids that occur, and frequencies of at least 1 that add up to 2 ** SCALE0."""
+    """The ids that occur, and frequencies of at least 1 that add up to 2 ** SCALE0,
+    or to 2 ** WIDEST0 where they are more than half as many as that has room for."""
     found, counts = np.unique(ids, return_counts=True)
-    total = (1 << SCALE0) - len(found)
+    scale = SCALE0 if 2 * len(found) <= 1 << SCALE0 else WIDEST0
+    total = (1 << scale) - len(found)
+    if total < 0:
+        raise ValueError(f"a file of {len(found)} distinct ids; at most {1 << scale} can be coded")
     share = 1 + (counts * total) // max(1, int(counts.sum()))
-    share[int(np.argmax(share))] += (1 << SCALE0) - int(share.sum())
+    share[int(np.argmax(share))] += (1 << scale) - int(share.sum())
     return found.astype(np.uint32), share.astype(np.uint32)
 
 
@@ -94,7 +99,12 @@ class Model:
         self.p1[:n] = ids
 
 
-TOTAL = np.uint64(12 + SCALE0)
+
+def scale_of(share: np.ndarray) -> int:
+    """Bits of the order-0 distribution whose frequencies these are."""
+    return max(SCALE0, int(share.sum(dtype=np.int64)).bit_length() - 1)
+
+
 LOW32 = np.uint64(0xFFFFFFFF)
 S32 = np.uint64(32)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -113,6 +123,8 @@ def _spans(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
 def encode_blocks(blocks: np.ndarray, lengths: np.ndarray, found: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
     """32-bit words of each block; blocks is (lanes, longest), lengths descend."""
     lanes, longest = blocks.shape
+    scale = scale_of(share)
+    total = np.uint64(12 + scale)
     place = np.searchsorted(found, blocks.T)  # steps by lanes
     starts = np.cumsum(share.astype(np.int64)) - share
     columns = np.ascontiguousarray(blocks.T).astype(np.int64)
@@ -128,12 +140,12 @@ def encode_blocks(blocks: np.ndarray, lengths: np.ndarray, found: np.ndarray, sh
                 w2, w1 = model.w2, model.w1
                 w0 = ONE - w2 - w1
                 at = place[t, :n]
-                start = np.where(kind == 0, 0, np.where(kind == 1, w2, w2 + w1)) << SCALE0
-                size = np.where(kind == 0, w2, w1) << SCALE0
+                start = np.where(kind == 0, 0, np.where(kind == 1, w2, w2 + w1)) << scale
+                size = np.where(kind == 0, w2, w1) << scale
                 escape = kind == 2
                 start = np.where(escape, start + w0 * starts[at], start)
                 size = np.where(escape, w0 * share[at].astype(np.int64), size)
-                unit = width[:n] >> TOTAL
+                unit = width[:n] >> total
                 low[:n] += unit * start.astype(np.uint64)
                 width[:n] = unit * size.astype(np.uint64)
                 _settle(low, width, n, out, filled)
@@ -167,6 +179,8 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray, found: np.ndarra
     held = np.zeros((lanes, max(map(len, words), default=0) + 4), np.uint32)
     for i, w in enumerate(words):
         held[i, : len(w)] = w
+    scale = scale_of(share)
+    total = np.uint64(12 + scale)
     wide = share.astype(np.int64)
     starts = np.cumsum(wide) - wide
     slot = np.repeat(np.arange(len(found)), wide)
@@ -182,12 +196,12 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray, found: np.ndarra
                 model.predict(n)
                 w2, w1 = model.w2, model.w1
                 w0 = ONE - w2 - w1
-                unit = width[:n] >> TOTAL
-                value = np.minimum((code[:n] - low[:n]) // unit, (np.uint64(1) << TOTAL) - np.uint64(1)).astype(np.int64)
-                upper = value >> SCALE0
+                unit = width[:n] >> total
+                value = np.minimum((code[:n] - low[:n]) // unit, (np.uint64(1) << total) - np.uint64(1)).astype(np.int64)
+                upper = value >> scale
                 kind = np.where(upper < w2, 0, np.where(upper < w2 + w1, 1, 2))
-                start = np.where(kind == 0, 0, np.where(kind == 1, w2, w2 + w1)) << SCALE0
-                size = np.where(kind == 0, w2, w1) << SCALE0
+                start = np.where(kind == 0, 0, np.where(kind == 1, w2, w2 + w1)) << scale
+                size = np.where(kind == 0, w2, w1) << scale
                 escape = kind == 2
                 at = slot[np.where(escape, (value - start) // w0, 0)]
                 start = np.where(escape, start + w0 * starts[at], start)
