@@ -1,0 +1,423 @@
+"""A second decode's words put in where the first heard none.
+
+A piece that skipped speech is decoded again in windows around what it skipped.
+Both decodes' words are put in step; those both heard are anchors, and only what
+the second heard between the anchors around a skipped stretch may go in. Each
+ground on which a word stays out is a column of its own. Everything but the
+match of two short word lists runs inside the piece's row; neighbours meet by
+ordinal. Samples are file positions at 16 kHz.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from voxloom.functions.arrays import at, indices, let, part, pinned
+from voxloom.functions.text import WORD, seam_key
+from voxloom.functions.tokens import word_spans
+from voxloom.operators.reconcile import MIN_WORDS, RATE, TAIL, samples
+from voxloom.operators.seams import FAR, SEAM_SEC, match_sequences
+from voxloom.session import cut_lineage
+
+# Fixed values, in samples: how far apart two decodes time one word.
+SAME_SPEECH = 3200
+SOONER = 4800
+MATCH = 6400
+EARLY = 9600
+LATE = 24_000
+
+ADDED = "array<struct<at:bigint,begin:int,stop:int>>"
+TAKEN = "array<struct<key:string,first:bigint,last:bigint>>"
+BARRED = "array<bigint>"
+
+
+def said(tokens: Column, timestamps: Column, origin: Column) -> Column:
+    """array<struct<key, first, last, f, l>>: each word's comparison key, the
+    samples that it and its last token with a word character start at, and its
+    first and last token."""
+
+    def of(b: Column) -> Column:
+        def one(w: Column) -> Column:
+            lettered = F.filter(F.sequence(w["first"], w["last"]), lambda i: F.get(b["v"], i).rlike(WORD))
+            ending = F.coalesce(at(lettered, F.size(lettered) - 1), w["first"])
+            return F.struct(
+                seam_key(w["word"]).alias("key"), (b["o"] + samples(F.get(b["t"], w["first"]))).alias("first"),
+                (b["o"] + samples(F.get(b["t"], ending))).alias("last"), w["first"].alias("f"), w["last"].alias("l"),
+            )
+
+        return F.transform(b["s"], one)
+
+    return let(F.struct(word_spans(tokens).alias("s"), timestamps.alias("t"), tokens.alias("v"), origin.cast("bigint").alias("o")), of)
+
+
+def listed(words: Column) -> Column:
+    """Words as the match takes them: struct<i, at, key>."""
+    return F.transform(words, lambda w, i: F.struct(i.alias("i"), (w["first"] / F.lit(float(RATE))).alias("at"), w["key"].alias("key")))
+
+
+def _count(values: Column, keep) -> Column:
+    return F.size(F.filter(values, keep))
+
+
+def _held(w: Column, same: Column) -> Column:
+    """Where the speech of a word ends for one that the other decode starts
+    after it: at its last token if both heard it, else as far as that can reach."""
+    return F.when(same, F.greatest(w["last"], w["first"] + SAME_SPEECH)).otherwise(w["last"] + TAIL + SAME_SPEECH)
+
+
+def _zones(asked: DataFrame) -> DataFrame:
+    """`zone`: for each redo word, whether it lies in a stretch, between the
+    words both heard on its two sides. The last word never does, which may be
+    one made up as the input ends; nor does a barred one."""
+    theirs, pairs = F.col("theirs"), F.col("pairs")
+    anchors = F.transform(pairs, lambda p: F.get("mine", p["i"])["first"])
+
+    def bounds(g: Column) -> Column:
+        prior, later = _count(anchors, lambda a: a < g["s"]), _count(anchors, lambda a: a < g["e"])
+        low = (
+            F.when(prior > 0, at(pairs, prior - 1)["j"] + 1)
+            .when((g["s"] == F.col("rs")) & (F.col("start") < F.col("rs")), F.lit(0))  # past a cut
+            .otherwise(_count(theirs, lambda w: w["first"] < g["s"] - TAIL))
+        )
+        high = (
+            F.when(later < F.size(pairs), at(pairs, later)["j"])
+            .when((g["e"] == F.col("re")) & (F.col("stop") > F.col("re")), F.size(theirs))
+            .otherwise(_count(theirs, lambda w: w["first"] < g["e"]))
+        )
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    bounded = pinned(asked, bounds=F.transform("stretches", bounds))
+    inside = lambda w, j: (
+        F.exists("bounds", lambda g: (g["low"] <= j) & (j < g["high"])) & (j < F.size(theirs) - 1) & ~F.array_contains("barred", w["first"])
+    )
+    return pinned(bounded, zone=F.transform(theirs, inside))
+
+
+def _same_speech(asked: DataFrame) -> DataFrame:
+    """`same`: for each redo word that only the redo heard, which other word is
+    the same speech, as struct<kind, at>; null where it is none."""
+    told = lambda kind, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("at"))
+    mine, theirs, taken = F.col("mine"), F.col("theirs"), F.col("beside_words")
+    own = lambda x: (F.col("rs") <= x) & (x < F.col("re"))
+    ready = pinned(asked, unheard=F.transform(F.filter("mine", lambda m: ~m["same"]), lambda m: m["first"]))
+
+    def first_ground(w: Column, j: Column) -> Column:
+        x = w["first"]
+        begun = _count(mine, lambda m: m["first"] <= x + SAME_SPEECH)
+        holds = F.exists(part(mine, F.lit(0), begun), lambda m: m["held"] >= x)
+        sooner = F.get(F.filter(indices(F.size(mine)), lambda i: (i >= begun) & (F.get(mine, i)["first"] <= x + SOONER) & ~F.get(mine, i)["same"]), F.lit(0))
+        neighbour = F.get(F.filter(indices(F.size(taken)), lambda k: (F.get(taken, k)["low"] <= x) & (x <= F.get(taken, k)["high"])), F.lit(0))
+        # a neighbour keeps its copy where the seam cannot match the two, too far apart
+        kept = F.exists("beside", lambda p: (p["j"] == j) & (F.abs(p["at"] - p["there"]) > MATCH / RATE) & ~own(F.get(taken, p["i"])["first"]))
+        k = _count("unheard", lambda u: u <= x)
+        early = (x >= F.col("stop") - EARLY - LATE) & (at(F.col("unheard"), k) <= x + EARLY)
+        another = at(F.col("zone"), j + 1) & ~F.array_contains("ours", j + 1) & (at(theirs, j + 1)["first"] < at(F.col("unheard"), k))
+        return (
+            F.when(F.array_contains("ours", j), F.lit(None))
+            .when(kept, told("kept", j))
+            .when(holds, told("piece", begun - 1))
+            .when(sooner.isNotNull(), told("piece", sooner))
+            .when(~F.array_contains("paired", j) & neighbour.isNotNull(), told("taken", neighbour))
+            .when(F.coalesce(early, F.lit(False)) & ~F.coalesce(another, F.lit(False)), told("unheard", k))
+        )
+
+    grounded = pinned(ready, same=F.transform(theirs, first_ground))
+    claimed = lambda kind, i: F.exists("same", lambda s: s.isNotNull() & (s["kind"] == kind) & (s["at"] == i))
+    other = lambda kind, i, x: F.struct(told(kind, i).alias("who"), x.alias("x"), (_count(theirs, lambda w: w["first"] <= x) - 1).alias("j"))
+    # a word that nothing accounts for, which starts while the redo's word before it is still heard
+    others = F.concat(
+        F.transform(
+            F.filter(indices(F.size(mine)), lambda i: ~F.get(mine, i)["same"] & own(F.get(mine, i)["first"]) & ~claimed("piece", i)),
+            lambda i: other("piece", i, F.get(mine, i)["first"]),
+        ),
+        F.transform(
+            F.filter(indices(F.size(taken)), lambda k: ~F.get(taken, k)["same"] & ~own(F.get(taken, k)["first"]) & ~claimed("taken", k)),
+            lambda k: other("taken", k, F.get(taken, k)["first"]),
+        ),
+    )
+    open_ = lambda c: (
+        (c["j"] >= 0) & ~F.array_contains("ours", c["j"]) & ~F.array_contains("paired", c["j"])
+        & at(F.col("same"), c["j"]).isNull() & (c["x"] <= at(theirs, c["j"])["last"] + TAIL + SAME_SPEECH)
+    )
+    found = pinned(grounded, claims=F.filter(others, lambda c: F.coalesce(open_(c), F.lit(False))))
+    settled = F.transform("same", lambda s, j: F.coalesce(s, F.get(F.filter("claims", lambda c: c["j"] == j), F.lit(0))["who"]))
+    return pinned(found, same=settled)
+
+
+def _puts(asked: DataFrame) -> DataFrame:
+    """`put`: the redo words that go in, and before which of the piece's words."""
+    theirs, same, pairs = F.col("theirs"), F.col("same"), F.col("pairs")
+    equal = lambda a, b: F.coalesce((a["kind"] == b["kind"]) & (a["at"] == b["at"]), F.lit(False))
+
+    def half(w: Column, j: Column) -> Column:
+        """The second half of a word that the redo split in two."""
+        before = at(same, j - 1)
+        return before.isNotNull() & ~equal(at(same, j - 2), before) & (w["first"] - at(theirs, j - 1)["first"] <= MATCH)
+
+    def slot(j: Column) -> Column:
+        side = _count("ours", lambda x: x < j)
+        lowest = F.when(side > 0, at(pairs, side - 1)["i"] + 1).otherwise(F.lit(0))
+        highest = F.when(side < F.size(pairs), at(pairs, side)["i"]).otherwise(F.size("mine"))
+        begun = _count("mine", lambda m: m["first"] <= F.get(theirs, j)["first"])
+        return F.least(F.greatest(begun, lowest), highest)
+
+    stays_out = lambda j: (
+        ~F.get("zone", j) | F.array_contains("ours", j) | F.get(same, j).isNotNull() | F.coalesce(half(F.get(theirs, j), j), F.lit(False))
+    )
+    token = lambda s: F.when(s > 0, F.get("mine", s - 1)["l"] + 1).otherwise(F.lit(0))
+    put = F.transform(F.filter(indices(F.size(theirs)), lambda j: ~stays_out(j)), lambda j: F.struct(j.alias("j"), token(slot(j)).cast("int").alias("before")))
+    # a piece that heard nothing takes every word of a part, all at one place
+    whole = F.filter(indices(F.size(theirs)), lambda j: ~F.array_contains("barred", F.get(theirs, j)["first"]))
+    opening = lambda j: F.coalesce(at(theirs, j - 1)["l"] + 1, F.lit(0))
+    place = let(F.get(whole, F.lit(0)), lambda j: _count("timestamps", lambda t: t <= F.get("again_times", opening(j)) + F.col("_shift")))
+    everything = let(F.struct(whole.alias("w"), place.alias("p")), lambda b: F.transform(b["w"], lambda j: F.struct(j.alias("j"), b["p"].cast("int").alias("before"))))
+    return pinned(asked.withColumn("_shift", (F.col("start") - F.col("ws")) / F.lit(float(RATE))), put=F.when(F.col("parts"), everything).otherwise(put))
+
+
+def _spliced(asked: DataFrame) -> DataFrame:
+    """The piece's tokens with the words put in, times held between the tokens
+    either side, and `added`: for each, its sample and its tokens."""
+    n = F.size("tokens")
+    entry = lambda tok, t, j: F.struct(tok.alias("tok"), t.cast("double").alias("t"), j.cast("int").alias("j"))
+
+    def of_word(p: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get("timestamps", i - 1)).otherwise(F.lit(0.0))
+        after = F.when(i < n, F.get("timestamps", i)).otherwise(F.lit(float("inf")))
+        own = F.sequence(F.coalesce(at(F.col("theirs"), p["j"] - 1)["l"] + 1, F.lit(0)), F.get("theirs", p["j"])["l"])
+        held = lambda t: F.when(F.col("parts"), t).otherwise(F.least(F.greatest(t, before), after))
+        return F.transform(own, lambda k: entry(F.get("again_tokens", k), held(F.get("again_times", k) + F.col("_shift")), p["j"]))
+
+    row = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), n),
+            lambda i: F.concat(
+                F.flatten(F.transform(F.filter("put", lambda p: p["before"] == i), lambda p: of_word(p, i))),
+                F.when(i < n, F.array(entry(F.get("tokens", i), F.get("timestamps", i), F.lit(-1)))).otherwise(F.array().cast("array<struct<tok:string,t:double,j:int>>")),
+            ),
+        )
+    )
+    rowed = pinned(asked, row=F.when(F.size("put") > 0, row))
+    places = lambda j: F.filter(indices(F.size("row")), lambda i: F.get("row", i)["j"] == j)
+    added = F.transform("put", lambda p: let(
+        places(p["j"]), lambda x: F.struct(F.get("theirs", p["j"])["first"].alias("at"), F.array_min(x).alias("begin"), (F.array_max(x) + 1).alias("stop"))
+    ))
+    return pinned(
+        rowed, added=F.when(F.col("row").isNotNull(), added).otherwise(F.array().cast(ADDED)),
+        merged_tokens=F.coalesce(F.col("row.tok"), F.col("tokens")), merged_times=F.coalesce(F.col("row.t"), F.col("timestamps")),
+    )
+
+
+def merge_redo_words(asked: DataFrame) -> DataFrame:
+    """asked(file, piece, rs, re, ws, we, tokens, timestamps, start, stop,
+    stretches, again_tokens, again_times, parts, taken, barred) with
+    `merged_tokens`, `merged_times` and `added`.
+
+    `again` was decoded from sample `start` to `stop`, for the `stretches` in it
+    that the piece skipped. `taken` holds the neighbours' words at the cuts and
+    `barred` the samples of words that must stay out. A word goes in by its
+    time, unless it starts where the piece or a neighbour heard another word
+    (while that is held, or just before it), is a neighbour's copy that the seam
+    cannot match, or is the second half of a word that the redo split. The
+    piece's own words all stay. `parts` marks a piece that heard nothing: all
+    its redo's words go in. A null or empty list is none; a null array of
+    tokens is one without tokens."""
+    kept = list(asked.columns)
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
+    kinds = {"tokens": "array<string>", "again_tokens": "array<string>", "timestamps": "array<double>", "again_times": "array<double>", "taken": TAKEN, "barred": BARRED, "stretches": "array<struct<s:bigint,e:bigint>>"}
+    filled = asked.select(*[none(c, kinds[c]) if c in kinds else F.col(c) for c in kept]).withColumn("parts", F.coalesce("parts", F.lit(False)))
+    heard = pinned(filled, mine=said(F.col("tokens"), F.col("timestamps"), F.col("ws")), theirs=said(F.col("again_tokens"), F.col("again_times"), F.col("start")))
+    near = F.filter(
+        F.transform("mine", lambda m, i: F.struct(i.alias("i"), (m["first"] / F.lit(float(RATE))).alias("at"), m["key"].alias("key"), m["first"].alias("x"))),
+        lambda m: (m["x"] >= F.col("start") - MATCH) & (m["x"] < F.col("stop") + MATCH),
+    )
+    match = match_sequences(EARLY / RATE)
+    listed_near = F.transform(near, lambda m: F.struct(m["i"].alias("i"), m["at"].alias("at"), m["key"].alias("key")))
+    paired = heard.withColumn("pairs", match(listed_near, listed(F.col("theirs")))).withColumn("beside", match(listed(F.col("taken")), listed(F.col("theirs"))))
+    both = lambda words, found: F.transform(
+        words, lambda w, i: let(F.exists(found, lambda p: p["i"] == i), lambda same: F.struct(w["first"].alias("first"), w["l"].alias("l"), _held(w, same).alias("held"), same.alias("same")))
+    )
+    beside = F.transform("taken", lambda t, k: let(
+        F.exists("beside", lambda p: p["i"] == k),
+        lambda same: F.struct(t["first"].alias("first"), (t["first"] - SAME_SPEECH).alias("low"), _held(t, same).alias("high"), same.alias("same")),
+    ))
+    known = pinned(
+        paired, mine=both(F.col("mine"), "pairs"), beside_words=beside,
+        ours=F.transform("pairs", lambda p: p["j"]), paired=F.transform("beside", lambda p: p["j"]),
+    )
+    done = _spliced(_puts(_same_speech(_zones(known))))
+    return done.select(*kept, "merged_tokens", "merged_times", "added")
+
+
+def merge_redos(pieces: DataFrame, redos: DataFrame, rounds: int) -> DataFrame:
+    """pieces(file, piece, rs, re, ws, we, tokens, timestamps, taken, barred)
+    with each of their redos(file, piece, k, start, stop, stretches,
+    again_tokens, again_times, parts), k from 0 and under `rounds`, put in one
+    after another: tokens and timestamps anew, `added` and `new`, how many went
+    into a stretch. A piece has as many redos as it has stretches that lie
+    apart, so the rounds are few."""
+    now = pieces.withColumn("added", F.array().cast(ADDED)).withColumn("new", F.lit(0))
+    columns = now.columns
+    for k in range(rounds):
+        mine = redos.where(F.col("k") == k).drop("k")
+        merged = merge_redo_words(now.withColumnsRenamed({"added": "_added"}).join(mine, ["file", "piece"]))
+        # words put in before move past those put in now
+        moved = F.transform("_added", lambda a: let(
+            F.aggregate("added", F.struct(a["begin"].alias("b"), a["stop"].alias("e")), lambda acc, x: F.when(
+                acc["b"] >= x["begin"], F.struct((acc["b"] + x["stop"] - x["begin"]).alias("b"), (acc["e"] + x["stop"] - x["begin"]).alias("e"))
+            ).otherwise(acc)),
+            lambda m: F.struct(a["at"].alias("at"), m["b"].alias("begin"), m["e"].alias("stop")),
+        ))
+        inside = F.aggregate("added", F.lit(0), lambda acc, a: acc + _count("stretches", lambda g: (g["s"] <= a["at"]) & (a["at"] < g["e"])))
+        put = merged.select(
+            "file", "piece", F.col("merged_tokens").alias("_tokens"), F.col("merged_times").alias("_times"),
+            F.concat(moved, F.col("added")).alias("_more"), (F.col("new") + inside).alias("_new"),
+        )
+        joined = now.join(put, ["file", "piece"], "left")
+        fresh = {"tokens": "_tokens", "timestamps": "_times", "added": "_more", "new": "_new"}
+        now = joined.select(*[F.coalesce(fresh[c], c).alias(c) if c in fresh else F.col(c) for c in columns])
+    return now
+
+
+def kept_at(met: DataFrame) -> DataFrame:
+    """met(lw, rw, l_rs, cut, l_we, r_ws, r_re) of two neighbours, lw and rw
+    their words as `said` gives them, with `lefts` and `rights`: the words that
+    each keeps at the cut."""
+    cut = F.col("cut") / F.lit(float(RATE))
+    reach = F.least(F.lit(SEAM_SEC), (F.col("cut") - F.col("l_rs")) / (2.0 * RATE), (F.col("r_re") - F.col("cut")) / (2.0 * RATE))
+    near = lambda words: F.filter(listed(words), lambda w: F.abs(w["at"] - cut) <= reach)
+    shared = ~((F.col("l_we") == F.col("cut")) & (F.col("r_ws") == F.col("cut")))
+    paired = met.withColumn("_p", match_sequences()(F.when(shared, near(F.col("lw"))).otherwise(F.array().cast("array<struct<i:int,at:double,key:string>>")), near(F.col("rw"))))
+    counted = pinned(paired, _p=F.col("_p"), _n=_count("_p", lambda p: F.greatest(p["at"], p["there"]) < cut))
+    last, first = at(F.col("_p"), F.col("_n") - 1), at(F.col("_p"), F.col("_n"))
+    bound = pinned(
+        counted, _lf=F.coalesce(last["i"] + 1, F.lit(0)), _ls=F.coalesce(first["i"], F.lit(FAR)),
+        _rf=F.coalesce(last["j"] + 1, F.lit(0)), _rs=F.coalesce(first["j"], F.lit(FAR)),
+    )
+    before = lambda words, i: F.get(words, i)["first"] / F.lit(float(RATE)) < cut
+    lefts = F.filter(indices(F.size("lw")), lambda i: (i < F.col("_lf")) | ((i < F.col("_ls")) & before("lw", i)))
+    rights = F.filter(indices(F.size("rw")), lambda j: (j >= F.col("_rs")) | ((j >= F.col("_rf")) & ~before("rw", j)))
+    return pinned(bound, lefts=lefts, rights=rights).drop("_p", "_n", "_lf", "_ls", "_rf", "_rs")
+
+
+def _neighbours(active: DataFrame, now: DataFrame) -> DataFrame:
+    """Each active piece with a neighbour that it meets at a cut: `side` -1 or
+    1, the cut, and the neighbour's words, range and window. The one before is
+    as it stands now, the one after as it was decoded first."""
+    pair = active.select("file", "piece", "rs", "re", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")).withColumn("_other", F.col("piece") + F.col("side"))
+    beside = now.select("file", F.col("piece").alias("_other"), F.col("rs").alias("n_rs"), F.col("re").alias("n_re"), F.col("ws").alias("n_ws"), F.col("we").alias("n_we"), "cur", "base")
+    before = F.col("side") == -1
+    cut = F.when(before, F.col("rs")).otherwise(F.col("re"))
+    meets = F.when(before, F.col("n_re")).otherwise(F.col("n_rs")) == cut
+    met = pair.join(beside, ["file", "_other"]).where(meets).withColumn("cut", cut)
+    tokens, times = (F.when(before, F.col(f"cur.{c}")).otherwise(F.col(f"base.{c}")) for c in ("tokens", "timestamps"))
+    return met.withColumn("nw", said(tokens, times, F.col("n_ws"))).drop("rs", "re", "_other", "cur", "base")
+
+
+def lost_words(active: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(file, piece, lost): the samples of words put in that cost a word at a
+    cut, where the seam pairs them with a neighbour's so that it or the piece
+    keeps fewer words than without them. active(file, piece, rs, re, ws, we,
+    base_tokens, base_times, tokens, timestamps, added)."""
+    worded = active.select(
+        "file", "piece", "rs", "re", "ws", "we", "added",
+        said(F.col("base_tokens"), F.col("base_times"), F.col("ws")).alias("base"), said(F.col("tokens"), F.col("timestamps"), F.col("ws")).alias("merged"),
+    )
+    left = F.col("side") == -1
+    met = neighbours.join(worded, ["file", "piece"])
+    either = met.withColumn("_v", F.explode(F.array(F.lit("base"), F.lit("merged")))).withColumn("_w", F.when(F.col("_v") == "base", F.col("base")).otherwise(F.col("merged")))
+    sided = either.select(
+        "*", F.when(left, F.col("nw")).otherwise(F.col("_w")).alias("lw"), F.when(left, F.col("_w")).otherwise(F.col("nw")).alias("rw"),
+        F.when(left, F.col("n_rs")).otherwise(F.col("rs")).alias("l_rs"), F.when(left, F.col("n_we")).otherwise(F.col("we")).alias("l_we"),
+        F.when(left, F.col("ws")).otherwise(F.col("n_ws")).alias("r_ws"), F.when(left, F.col("re")).otherwise(F.col("n_re")).alias("r_re"),
+    )
+    kept = kept_at(sided).select(
+        "file", "piece", "side", "_v", F.when(left, F.col("lefts")).otherwise(F.col("rights")).alias("theirs"),
+        F.when(left, F.col("rights")).otherwise(F.col("lefts")).alias("mine"),
+    )
+    of = lambda v: kept.where(F.col("_v") == v).select("file", "piece", "side", F.col("theirs").alias(f"theirs_{v}"), F.col("mine").alias(f"mine_{v}"))
+    both = met.join(of("base"), ["file", "piece", "side"]).join(of("merged"), ["file", "piece", "side"])
+    is_added = lambda w: F.exists("added", lambda a: (a["begin"] <= w["f"]) & (w["f"] < a["stop"]))
+    own = F.filter(indices(F.size("merged")), lambda i: ~is_added(F.get("merged", i)))
+    placed = pinned(both, own=own)
+    loses = (F.size(F.array_except("theirs_base", "theirs_merged")) > 0) | (
+        F.size(F.array_except(F.transform("mine_base", lambda i: F.get("own", i)), F.col("mine_merged"))) > 0
+    )
+    put = F.transform(
+        F.filter("merged", is_added),
+        lambda w: F.struct(w["key"].alias("key"), F.get(F.filter("added", lambda a: (a["begin"] <= w["f"]) & (w["f"] < a["stop"])), F.lit(0))["at"].alias("x")),
+    )
+    here = F.filter(put, lambda w: F.abs(w["x"] - F.col("cut")) <= int(SEAM_SEC * RATE))
+    pairs = F.flatten(F.transform(here, lambda w: F.transform(
+        F.filter("nw", lambda n: (n["key"] == w["key"]) & (F.abs(n["first"] - w["x"]) <= MATCH)), lambda n: F.struct(w["x"].alias("x"), n["first"].alias("there"))
+    )))
+    found = pinned(placed.where(loses), pairs=pairs, here=here)
+    across = F.filter("pairs", lambda p: (p["x"] < F.col("cut")) != (p["there"] < F.col("cut")))
+    lost = F.when(F.size(across) > 0, F.transform(across, lambda p: p["x"])).when(F.size("pairs") > 0, F.col("pairs.x")).otherwise(F.col("here.x"))
+    return found.select("file", "piece", F.explode(lost).alias("x")).groupBy("file", "piece").agg(F.collect_set("x").alias("lost"))
+
+
+def protect_seam_words(pieces: DataFrame, redos: DataFrame) -> DataFrame:
+    """pieces(file, piece, rs, re, ws, we, tokens, timestamps) with redos put in
+    so that no seam loses a word by it: tokens and timestamps anew, `new`, the
+    words that went into stretches (0 where the first decode stands, as it does
+    under two), and `round`, when the piece last settled (null: no redo).
+
+    A piece goes by what the one before it settled on and by the first decode of
+    the one after it. All are tried at once; a piece that had to bar a word is
+    tried again without it, and one is taken up anew only if the words near its
+    cut changed in the piece before it. Barred words only grow and changes only
+    move to the right, so the rounds end, and their end does not depend on the
+    order. Only pieces with redos and their neighbours take part."""
+    keys, out = ["file", "piece"], pieces.columns
+    redone = redos.groupBy(*keys).agg((F.max("k") + 1).alias("_redos"))
+    around = redone.select("file", F.explode(F.array(*[F.col("piece") + d for d in (-1, 0, 1)])).alias("piece")).distinct()
+    heard = F.struct(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.coalesce("timestamps", F.array().cast("array<double>")).alias("timestamps"))
+    taking_part = pieces.join(around, keys, "left_semi").join(redone, keys, "left")
+    state = {"barred": F.array().cast(BARRED), "new": F.lit(0), "round": F.lit(0), "open": F.col("_redos").isNotNull(), "seen": F.lit(0).cast("bigint")}
+    now = cut_lineage(taking_part.select(*keys, "rs", "re", "ws", "we", heard.alias("base"), heard.alias("cur"), "_redos", *[v.alias(k) for k, v in state.items()]))
+    rounds = now.agg(F.max("_redos")).first()[0] or 0
+    number, waiting = 0, rounds > 0
+    while waiting:
+        number += 1
+        active = now.where("open").select(*keys, "rs", "re", "ws", "we", "base.tokens", "base.timestamps", "barred")
+        beside = cut_lineage(_neighbours(active, now))
+        close = F.filter("nw", lambda w: F.abs(w["first"] - F.col("cut")) <= int(SEAM_SEC * RATE))
+        taken = beside.groupBy(*keys).agg(
+            F.array_sort(F.collect_list(F.struct("side", close.alias("w")))).alias("_t"),
+            F.max(F.when(F.col("side") == -1, _edge(F.col("nw"), F.col("cut")))).alias("_edge"),
+        ).select(*keys, "_edge", F.transform(F.flatten("_t.w"), lambda w: F.struct(w["key"].alias("key"), w["first"].alias("first"), w["last"].alias("last"))).alias("taken"))
+        merged = merge_redos(active.join(taken, keys, "left"), redos, rounds)
+        tried = cut_lineage(merged.join(active.select(*keys, F.col("tokens").alias("base_tokens"), F.col("timestamps").alias("base_times")), keys))
+        enough = F.col("new") >= MIN_WORDS
+        lost = lost_words(tried.where(enough), beside)
+        none = F.array().cast(BARRED)
+        judged = tried.join(lost, keys, "left").select(
+            *keys, F.array_union("barred", F.coalesce("lost", none)).alias("_b"), F.coalesce("_edge", F.lit(0)).alias("_e"),
+            F.when(F.size(F.array_except(F.coalesce("lost", none), F.col("barred"))) == 0, F.struct(
+                F.when(enough, F.struct("tokens", "timestamps")).otherwise(F.struct(F.col("base_tokens").alias("tokens"), F.col("base_times").alias("timestamps"))).alias("cur"),
+                F.when(enough, F.col("new")).otherwise(F.lit(0)).alias("new"),
+            )).alias("_done"),
+        )
+        was = F.col("_b").isNotNull()
+        after = cut_lineage(now.join(judged, keys, "left").select(
+            *keys, "rs", "re", "ws", "we", "base", F.coalesce("_done.cur", "cur").alias("cur"), "_redos", F.coalesce("_b", "barred").alias("barred"),
+            F.coalesce("_done.new", "new").alias("new"), F.when(F.col("_done").isNotNull(), number).otherwise(F.col("round")).alias("round"),
+            F.when(was, F.col("_done").isNull()).otherwise(F.lit(False)).alias("open"), F.when(was, F.col("_e")).otherwise(F.col("seen")).alias("seen"),
+        ))
+        # what the piece before has near the cut now, against what the piece went by
+        edges = after.select("file", (F.col("piece") + 1).alias("piece"), F.col("re").alias("rs"), _edge(said(F.col("cur.tokens"), F.col("cur.timestamps"), F.col("ws")), F.col("re")).alias("_now"))
+        stale = F.col("_redos").isNotNull() & (F.coalesce("_now", F.lit(0)) != F.col("seen"))
+        now = cut_lineage(after.join(edges, [*keys, "rs"], "left").select(
+            *[c for c in after.columns if c not in ("open", "barred")], F.when(stale, none).otherwise(F.col("barred")).alias("barred"), (F.col("open") | stale).alias("open"),
+        ))
+        waiting = not now.where("open").isEmpty()
+    settled = now.where(F.col("_redos").isNotNull()).select(*keys, F.col("cur.tokens").alias("_tok"), F.col("cur.timestamps").alias("_tim"), "new", "round")
+    joined = pieces.join(settled, keys, "left")
+    fresh = {"tokens": "_tok", "timestamps": "_tim"}
+    return joined.select(*[F.coalesce(fresh[c], c).alias(c) if c in fresh else F.col(c) for c in out], F.coalesce("new", F.lit(0)).alias("new"), "round")
+
+
+def _edge(words: Column, cut: Column) -> Column:
+    """A hash of the words that a seam at the cut can read."""
+    return F.xxhash64(F.transform(F.filter(words, lambda w: F.abs(w["first"] - cut) <= 2 * RATE), lambda w: F.struct(w["key"].alias("key"), w["first"].alias("first"), w["last"].alias("last"))))

@@ -17,6 +17,7 @@ SECTIONS = (
     "number_queries",
     "planning_queries",
     "letter_queries",
+    "redo_queries",
 )
 
 REGISTRY: dict[str, Query] = {}
