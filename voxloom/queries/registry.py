@@ -18,6 +18,7 @@ SECTIONS = (
     "planning_queries",
     "letter_queries",
     "redo_queries",
+    "bulk_queries",
 )
 
 REGISTRY: dict[str, Query] = {}

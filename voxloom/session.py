@@ -27,18 +27,23 @@ def build_session(app: str = "voxloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in `spark.checkpoint.dir`, which every
+    executor can reach; a local one is made only where none is set and the
+    session runs in one process."""
+    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="voxloom-checkpoint-")
+        spark.conf.set(CHECKPOINT_KEY, folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to the reliable checkpoint folder, so that a loop's plan
-    does not grow and a lost executor does not replay every round. The folder
-    is the one the cluster names; a local one is made only where none is set
-    and the session runs in one process."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    does not grow and a lost executor does not replay every round."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_KEY, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="voxloom-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
