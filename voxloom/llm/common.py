@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -77,6 +81,24 @@ def batches_of(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int =
             yield batch.slice(start)
 
 
+def lean(task: Callable) -> Callable:
+    """A function over batches whose worker gives the memory of a finished task
+    back to the system. Workers wait for their next task, of this stage or
+    another's, and would hold it meanwhile."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def parts_for(df: DataFrame) -> int:
     """Partitions for an explicit deal, from the session's own setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

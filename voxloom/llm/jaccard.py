@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import batches_of, parts_for, settled, texts_of
+from voxloom.llm.common import batches_of, lean, parts_for, settled, texts_of
 from voxloom.llm.graph import components
 from voxloom.llm.words import Growing, WordMemory
 
@@ -99,6 +99,7 @@ def least_matches(values: int, step: int, threshold: float, tolerance: float) ->
 def sketches(df: DataFrame, key: str, text: str, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """_k, _h (hash of the text), node (hash of the shingle set), n_shingles, sig and the hashes of its bands."""
 
+    @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, by = Shingles(words), multipliers(bands * rows)
         for batch in batches_of(batches, "_t"):
@@ -138,6 +139,7 @@ def linked_in_blocks(members: DataFrame, words: int, bands: int, rows: int, thre
     ).select("root", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", "node", "copies", "sig", "_t")
     least = least_matches(bands * rows, step, threshold[0] / threshold[1], tolerance)
 
+    @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         held, at = [], None

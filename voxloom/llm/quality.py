@@ -8,12 +8,14 @@ with the smallest hash of their id; scoring reads every whole text. As the
 output is linear in the mean, each vector comes down to one number at scoring.
 
 A null or empty text has no feature and gets the score of the bias alone.
-Repeated rows get a row each. Without a labelled row every score is 0.5; with
+Repeated rows get a row each; a null id is no row's label and is neither held out
+nor not, its `held_out` is null. Without a labelled row every score is 0.5; with
 one class only, the score of that class's share.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import apart, batches_of, texts_of
+from voxloom.llm.common import apart, batches_of, lean, texts_of
 from voxloom.llm.words import Growing, WordMemory, runs_at
 
 BUCKETS = 1 << 17
@@ -175,26 +177,37 @@ def held_out(key: Column, folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, buckets: int = BUCKETS) -> Model:
-    """A model of at most `sample` labelled rows outside the held-out fold. Only
-    their features, at most `buckets` a row, reach the driver."""
+    """A model of at most `sample` labelled rows outside the held-out fold. One
+    task trains on their features, at most `buckets` a row; the driver gets the
+    model, a number for each bucket."""
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     # a key that repeats with both labels counts by the larger; the sample is small and so broadcast
     chosen = usable.groupBy(key).agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.select(key, F.col(text).alias("_t")).join(F.broadcast(chosen), key).select(key, "_label", "_t")
+    rows = docs.select(key, F.col(text).alias("_t")).join(F.broadcast(chosen), key).select(F.col(key).alias("_k"), "_label", "_t")
 
+    @lean
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(buckets)
         for batch in batches_of(batches, "_t"):
             pairs = [features.of(t) for t in texts_of(batch.column("_t"))]
             yield pa.record_batch(
-                [batch.column(key), batch.column("_label"), pa.array([a.tobytes() for a, _ in pairs], pa.binary()), pa.array([b.tobytes() for _, b in pairs], pa.binary())],
-                [key, "_label", "ids", "counts"],
+                [batch.column("_k"), batch.column("_label"), pa.array([a.tobytes() for a, _ in pairs], pa.binary()), pa.array([b.tobytes() for _, b in pairs], pa.binary())],
+                ["_k", "_label", "ids", "counts"],
             )
 
+    @lean
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for batch in batches:
+            for k, y, ids, counts in zip(*(batch.column(c).to_pylist() for c in ("_k", "_label", "ids", "counts")), strict=True):
+                got.append((k, ids, counts, int(y > 0)))
+        got.sort(key=lambda r: r[:2])
+        model = trained([(np.frombuffer(ids, np.int32), np.frombuffer(counts, np.int32), y) for _, ids, counts, y in got], buckets)
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(found, f"`{key}` {kind}, _label int, ids binary, counts binary").toArrow().to_pydict()
-    order = sorted(range(len(got[key])), key=lambda i: (got[key][i], got["ids"][i]))
-    return trained([(np.frombuffer(got["ids"][i], np.int32), np.frombuffer(got["counts"][i], np.int32).astype(np.int64), int(got["_label"][i] > 0)) for i in order], buckets)
+    features = rows.mapInArrow(found, f"_k {kind}, _label int, ids binary, counts binary")
+    return pickle.loads(features.repartition(1).mapInArrow(train, "model binary").first()["model"])
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,6 +215,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     underscores stand before it where docs has names that begin with one."""
     sent, name = docs.sparkSession.sparkContext.broadcast(model), apart(docs) + "score"
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches_of(batches, text):

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import apart, batches_of, parts_for, written
+from voxloom.llm.common import apart, batches_of, lean, parts_for, written
 
 LEAST = 50
 GRAM = 16
@@ -320,6 +320,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
     buckets = parts
     reach = least - gram
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "data", 3 << 20):
             texts = batch.column("data").to_pylist()
@@ -365,6 +366,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
                     out[name].append(value)
             yield pa.record_batch([pa.array(out["bucket"], pa.int32()), *[pa.array(out[x], pa.binary()) for x in list(out)[1:]]], list(out))
 
+    @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {x: [] for x in ("h", "c", "row", "doc", "pos", "reach")}  # arrays
         at = None
@@ -416,6 +418,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
     found = written(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND), "anchors")
     asked = found.where("anchor IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "crowded")).alias("asked"))
 
+    @lean
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "data", 2 << 20):
             out = {"anchor": [], "row": [], "doc": [], "pos": [], "until": [], "before": [], "after": []}
@@ -443,6 +446,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
 
     seen = docs.join(asked, "row").select("row", "doc", "data", "asked").mapInArrow(look, "anchor bigint, row bigint, doc bigint, pos bigint, until bigint, before binary, after binary")
 
+    @lean
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at, last = [], 0, None
 
@@ -496,6 +500,7 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     # the text is shuffled once, as its bytes
     joined = rows.drop(text).join(known.select(F.col("row").alias(f"{p}row"), F.col("cut").alias(f"{p}cut"), F.col("copy").alias(f"{p}copy")), f"{p}row", "left").withColumn(text, F.when(~F.col(f"{p}null"), F.decode(f"{p}data", "UTF-8")))
 
+    @lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, f"{p}data"):
             kept, removed, counts, sizes = [], [], [], []
