@@ -19,6 +19,7 @@ SECTIONS = (
     "letter_queries",
     "redo_queries",
     "bulk_queries",
+    "relisten_queries",
 )
 
 REGISTRY: dict[str, Query] = {}
