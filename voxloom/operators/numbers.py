@@ -170,13 +170,22 @@ def _changed(n: Column, **values: Column) -> Column:
     return F.struct(*[values.get(f, n[f]).alias(f) for f in fields])
 
 
+def _sounds_teen(digits: Column) -> Column:
+    """Whether two digits end in -teen or in -ty as said, three and up."""
+    return digits.rlike(r"^(1[3-9]|[3-9]0)$")
+
+
+def _teen_or_ten(digits: Column) -> Column:
+    """The other one of the two that sound alike: its digit before a zero, or after a one."""
+    return F.when(digits.startswith("1"), F.concat(F.right(digits, F.lit(1)), F.lit("0"))).otherwise(F.concat(F.lit("1"), F.left(digits, F.lit(1))))
+
+
 def misheard(n: Column) -> Column:
     """Numbers that may have been written in place of the one said: a currency
     missed or invented, a fraction's neighbours, teens and tens swapped, a zero
     more or less, a one-digit number wrong."""
     empty = F.lit("")
     one = lambda cond, value: F.when(cond, F.array(value)).otherwise(F.array().cast("array<struct<opening:string,glued:string,sign:string,currency:string,whole:string,grouped:boolean,fraction:string,ordinal:string,suffix:string,closing:string>>"))
-    teens = {**{f"1{d}": f"{d}0" for d in "3456789"}, **{f"{d}0": f"1{d}" for d in "3456789"}}
     size, two = F.char_length(n["whole"]), F.char_length(n["fraction"]) == 2
     has_fraction = n["fraction"] != ""
     last = F.when(has_fraction, F.right(n["fraction"], F.lit(1)).cast("int"))
@@ -190,8 +199,8 @@ def misheard(n: Column) -> Column:
     every = F.concat(
         one(n["currency"] != "", _changed(n, currency=empty)),
         *invented, *family, *near,
-        one(n["whole"].isin(*teens), _changed(n, whole=nb._lookup(teens, n["whole"]))),
-        one(n["fraction"].isin(*teens), _changed(n, fraction=nb._lookup(teens, n["fraction"]))),
+        one(_sounds_teen(n["whole"]), _changed(n, whole=_teen_or_ten(n["whole"]))),
+        one(_sounds_teen(n["fraction"]), _changed(n, fraction=_teen_or_ten(n["fraction"]))),
         one(short, _changed(n, whole=F.concat(n["whole"], F.lit("0")))),
         one(short & n["whole"].endswith("0") & (size > 1), _changed(n, whole=F.substring(n["whole"], F.lit(1), size - 1))),
         *[one((size == 1) & (n["whole"] != str(d)), _changed(n, whole=F.lit(str(d)))) for d in range(1, 10)],

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxloom.functions import numbers as nb
 from voxloom.functions.arrays import at, indices, let
 from voxloom.functions.text import WORD, seam_key
 from voxloom.functions.tokens import word_spans
@@ -28,11 +29,7 @@ SPOKEN_BEFORE, SPOKEN_AFTER = 1600, 2400
 MADE_UP = 12000
 ENDING, LEAD = 8 * RATE, RATE
 PAUSE_FRAMES, PAUSE_DB, FRAME = 5, 15.0, 320
-NUMBER_WORDS = (
-    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
-    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion "
-    "first second third fifth eighth ninth twelfth"
-).split()
+NUMBER_WORDS = (*nb.ONES, *nb.TENS[2:], *nb.SCALE_WORDS, *nb.ORDINALS.values())
 NUMBERISH = rf"^(\d+(st|nd|rd|th|s)?|[ivxlc]+|({'|'.join(NUMBER_WORDS)})(th|s)?)$"
 
 

@@ -133,7 +133,7 @@ def _slice(spark, sf_dir):
     blocks = _waves(spark, sf_dir).select(
         F.floor(F.col("vec_id") / 8).alias("file"), (F.col("vec_id") % 8).alias("block"), "x"
     )
-    windows = blocks.where(F.col("block") % 3 == 0).select(
+    windows = blocks.select(
         "file", F.col("block").alias("piece"), (F.col("block") * 64 + F.col("file") % 50).alias("ws"),
         (F.col("block") * 64 + F.col("file") % 50 + 100).alias("we"),
     )
@@ -224,7 +224,7 @@ QUERIES = [
         "slice_pieces", _slice,
         with_views(
             """SELECT w.file, w.piece, count(*) AS n, round(sum(s.v), 6) AS total, round(max_by(s.v, s.p), 7) AS last
-               FROM (SELECT vec_id // 8 AS file, vec_id % 8 AS piece, vec_id % 8 * 64 + vec_id // 8 % 50 AS ws FROM embeddings WHERE vec_id % 8 % 3 = 0) w
+               FROM (SELECT vec_id // 8 AS file, vec_id % 8 AS piece, vec_id % 8 * 64 + vec_id // 8 % 50 AS ws FROM embeddings) w
                JOIN (SELECT vec_id // 8 AS file, vec_id % 8 * 64 + i AS p, v FROM wv) s ON s.file = w.file AND s.p >= w.ws AND s.p < w.ws + 100 GROUP BY ALL""",
             _WAVE_SQL,
         ),
