@@ -20,6 +20,7 @@ SECTIONS = (
     "redo_queries",
     "bulk_queries",
     "relisten_queries",
+    "cut_queries",
 )
 
 REGISTRY: dict[str, Query] = {}
