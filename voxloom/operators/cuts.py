@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.operators.intervals import whole
+from voxloom.operators.intervals import clip_intervals, room, whole
 from voxloom.operators.signal import slice_pieces
+from voxloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -206,3 +207,53 @@ def quiet_cuts(ranges: DataFrame, blocks: DataFrame, sizes: DataFrame, maximum:
         F.coalesce("latest", "s").cast("bigint").alias("latest"), F.coalesce("earliest", "e").cast("bigint").alias("earliest"),
     )
     return limits.join(gathered, ["file", "id"], "left").mapInArrow(choose, f"file {kind}, id bigint, cuts array<bigint>")
+
+
+def split_all(
+    ranges: DataFrame, speech: DataFrame, blocks: DataFrame, sizes: DataFrame, maximum: int, *, block: int, cutting: Cutting = Cutting(), bin_size: int = 960_000,
+) -> DataFrame:
+    """(file, stretch, s, e): ranges(file, stretch, s, e), those over `maximum`
+    split at quiet points. Where a split range meets another, it may give up the
+    pause at that end to it, up to speech(file, s, e), as long as the other
+    needs no more parts for it; the first and the last of those that meet give
+    up nothing at their free ends.
+
+    What a range gives up changes the one after it, so of ranges that meet the
+    first one still too long is split in each round; ranges that do not meet do
+    not wait for each other. A file's ranges are as few as its length limit lets
+    them be."""
+    order, limit = Window.partitionBy("file").orderBy("s", "e"), F.lit(maximum).cast("bigint")
+    meets = F.when(F.lag("e").over(order) == F.col("s"), 0).otherwise(1)
+    numbered = ranges.select("file", "stretch", F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e")).where("e > s").select(
+        "*", F.row_number().over(order).cast("bigint").alias("i"), meets.alias("_o")
+    )
+    chained = numbered.withColumn("chain", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_o")
+    now = cut_lineage(chained.withColumn("cuts", F.lit(None).cast("array<bigint>")))
+    keys = ["file", "chain", "i"]
+    while True:
+        first = now.where(F.col("cuts").isNull() & (F.col("e") - F.col("s") > limit)).groupBy("file", "chain").agg(F.min("i").alias("i"))
+        active = cut_lineage(now.join(first, keys, "left_semi"))
+        if active.isEmpty():
+            break
+        inside = clip_intervals(speech, active.select("file", F.col("i").alias("id"), "s", "e"), ["file"], bin_size=bin_size)
+        heard = inside.groupBy("file", F.col("id").alias("i")).agg(F.min("s").alias("_first"), F.max("e").alias("_last"))
+        before = now.select("file", "chain", (F.col("i") + 1).alias("i"), F.coalesce(F.get("cuts", F.size("cuts") - 2), F.col("s")).alias("_begins"))
+        after = now.select("file", "chain", (F.col("i") - 1).alias("i"), (F.col("e") - room(F.col("e") - F.col("s"), limit)).alias("_reaches"))
+        asked = active.join(heard, ["file", "i"], "left").join(before, keys, "left").join(after, keys, "left").select(
+            "file", F.col("i").alias("id"), "s", "e",
+            F.when(F.col("_begins").isNotNull(), F.least(F.coalesce("_first", "s"), F.col("_begins") + limit)).alias("latest"),
+            F.when(F.col("_reaches").isNotNull(), F.greatest(F.coalesce("_last", "e"), "_reaches")).alias("earliest"),
+        )
+        found = cut_lineage(quiet_cuts(asked, blocks, sizes, maximum, block=block, cutting=cutting).withColumnRenamed("id", "i").withColumnRenamed("cuts", "_cuts"))
+        placed = found.join(active.select(*keys), ["file", "i"])
+        left = placed.select("file", "chain", (F.col("i") - 1).alias("i"), F.get("_cuts", F.lit(0)).alias("_end"))
+        right = placed.select("file", "chain", (F.col("i") + 1).alias("i"), F.element_at("_cuts", -1).alias("_start"))
+        held = F.when(F.col("_end").isNotNull() & F.col("cuts").isNotNull(), F.concat(F.slice("cuts", F.lit(1), F.size("cuts") - 1), F.array("_end"))).otherwise(F.col("cuts"))
+        joined = now.join(placed.select(*keys, "_cuts"), keys, "left").join(left, keys, "left").join(right, keys, "left")
+        now = cut_lineage(joined.select(
+            "file", "stretch", F.coalesce("_start", "s").alias("s"), F.coalesce("_end", "e").alias("e"), "i", "chain", F.coalesce(F.col("_cuts"), held).alias("cuts"),
+        ))
+    parts = F.when(F.col("cuts").isNull(), F.array(F.struct("s", "e"))).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda k: F.struct(F.get("cuts", k - 1).alias("s"), F.get("cuts", k).alias("e")))
+    )
+    return now.select("file", "stretch", F.explode(parts).alias("p")).select("file", "stretch", "p.s", "p.e")

@@ -7,12 +7,15 @@ the stretches is a running scan; packing one is a fold over its spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import at, indices, let
 from voxloom.operators.intervals import whole
 from voxloom.operators.scan import running
+from voxloom.session import cut_lineage
 
 # Fixed values at 16 kHz.
 RATE = 16_000
@@ -207,11 +210,15 @@ def off_step(pieces: Column, next_start: Column, *, step: int = STEP, own: int,
 
 
 def plan_chunks(
-    speech: DataFrame, sizes: DataFrame, *, target: int, maximum: int, least: int, context: int = 0, step: int = 0, trim: int = TRIM
-) -> DataFrame:
+    speech: DataFrame, sizes: DataFrame, *, target: int, maximum: int, least: int, context: int = 0, step: int = 0, trim: int = TRIM,
+    split: Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
     """(file, rs, re, ws, we): bounded ranges and the windows to decode for
     them. A file no longer than `maximum` is one range whatever was heard; a
-    longer one without speech has none. Lengths are samples."""
+    longer one without speech has none. Lengths are samples. Ranges over what a
+    window has room for are split evenly, or by `split`(ranges, speech, sizes,
+    limit), which gets ranges(file, stretch, s, e) and returns the like, as
+    `split_all` does."""
     own = max(1, maximum - 2 * context)
     goal = min(target, own)
     floor = min(goal, max(0, least))
@@ -220,10 +227,14 @@ def plan_chunks(
     )
     long = sizes.where(F.col("total") > maximum)
     found = stretches(speech.join(long.select("file"), "file", "left_semi"), long, trim=trim)
-    ranged = found.withColumn(
-        "ranges",
-        split_long(packed_ranges(F.col("spans"), F.col("head"), F.col("tail"), F.col("total"), target=goal, own=own, least=floor, trim=trim), own),
-    )
+    packed = packed_ranges(F.col("spans"), F.col("head"), F.col("tail"), F.col("total"), target=goal, own=own, least=floor, trim=trim)
+    if split is None:
+        ranged = found.withColumn("ranges", split_long(packed, own))
+    else:
+        known = cut_lineage(found.withColumn("packed", packed))
+        cut = split(known.select("file", "stretch", F.explode("packed").alias("p")).select("file", "stretch", "p.s", "p.e"), speech, long, own)
+        ranges = cut.groupBy("file", "stretch").agg(F.array_sort(F.collect_list(span(F.col("s"), F.col("e")))).alias("ranges"))
+        ranged = known.drop("packed").join(ranges, ["file", "stretch"])
     windowed = ranged.withColumn("windows", context_windows(F.col("ranges"), F.col("spans"), context=context, maximum=maximum))
     pieces = F.transform(
         F.arrays_zip("ranges", "windows"),
