@@ -8,7 +8,7 @@ from voxloom.operators import cuts
 from voxloom.plans import views
 from voxloom.queries.base import Query, with_views
 
-BLOCK, LIMIT = 32, 40
+BLOCK, LIMIT, TAIL = 32, 40, 20
 SMALL = cuts.Cutting(rate=100, step=1, search=5, quiet_span=4, dip_span=2, frame=2, local=12, gap_span=2, gap_side=8, gap_run=2)
 
 
@@ -34,17 +34,30 @@ def _cuts(spark, sf_dir):
     return out.select("file", F.posexplode("cuts").alias("k", "at")).select("file", F.col("k").cast("long").alias("k"), "at")
 
 
+def _split(spark, sf_dir):
+    """All but a user's last 20 values, and those, which meet; the pause between
+    them may change hands."""
+    blocks, sizes = _signal(spark, sf_dir)
+    long = sizes.where(F.col("total") > TAIL)
+    edge = F.col("total") - TAIL
+    span = lambda s, e: F.struct(s.cast("bigint").alias("s"), e.cast("bigint").alias("e"))
+    both = lambda a, b: long.select("file", F.explode(F.array(span(F.lit(0), a), span(b, F.col("total")))).alias("p")).select("file", "p.s", "p.e")
+    ranges = both(edge, edge).withColumn("stretch", F.lit(0).cast("bigint"))
+    out = cuts.split_all(ranges, both(edge - 4, edge + 3), blocks, sizes, LIMIT, block=BLOCK, cutting=SMALL, bin_size=256)
+    return out.select("file", "s", "e")
+
+
 _SIZE_SQL = """
 xs AS MATERIALIZED (SELECT key, pos, x / 1000 AS x FROM sig),
-size AS (SELECT key, count(*) AS n FROM xs GROUP BY key),
-pts AS MATERIALIZED (SELECT key, n, c, c * 10 + 5 AS p FROM (SELECT key, n, unnest(range((n + 4) // 10)) AS c FROM size) WHERE c * 10 + 5 < n)"""
+size AS (SELECT key, count(*) AS n, count(*) AS total FROM xs GROUP BY key),
+pts AS MATERIALIZED (SELECT key, total, n, c, c * 10 + 5 AS p FROM (SELECT key, total, n, unnest(range((n + 4) // 10)) AS c FROM size) WHERE c * 10 + 5 < n)"""
 
 
 def _gap_sql(points: str, name: str) -> str:
     """Gaps of points(key, n, c, p), from the variance of two samples at each place."""
     return f"""
 lv_{name} AS MATERIALIZED (
-  SELECT g.key, g.c, g.p, g.y, coalesce(var_pop(x.x), 0) AS level FROM (SELECT key, c, p, unnest(range(greatest(0, p - 8), least(n, p + 8) + 1)) AS y FROM {points}) g
+  SELECT g.key, g.c, g.p, g.y, coalesce(var_pop(x.x), 0) AS level FROM (SELECT key, c, p, unnest(range(greatest(0, p - 8), least(total, p + 8) + 1)) AS y FROM {points}) g
   JOIN xs x ON x.key = g.key AND x.pos >= g.y - 1 AND x.pos < g.y + 1 GROUP BY g.key, g.c, g.p, g.y),
 gt_{name} AS (SELECT key, c, 0.7 * least(max(level) FILTER (WHERE y < p), max(level) FILTER (WHERE y > p)) AS gate FROM lv_{name} GROUP BY key, c),
 rn_{name} AS (SELECT l.key, l.c, max(y) FILTER (WHERE y < p AND level > gate) AS below, min(y) FILTER (WHERE y > p AND level > gate) AS above, min(y) AS a, max(y) AS b,
@@ -55,8 +68,11 @@ gap_{name} AS MATERIALIZED (
   FROM rn_{name} r)"""
 
 
-_CUT_SQL = f"""
-inner_cuts AS MATERIALIZED (SELECT key, n, parts, c, n * c // parts AS p FROM (SELECT key, n, (n + {LIMIT - 1}) // {LIMIT} AS parts, unnest(range(1, (n + {LIMIT - 1}) // {LIMIT})) AS c FROM size)),
+def _cut_sql(size: str, given_up: int) -> str:
+    """The cheapest chain of each range [0, n) of `size`(key, n, total), whose end may come `given_up` earlier."""
+    return f"""
+size_cut AS MATERIALIZED ({size}),
+inner_cuts AS MATERIALIZED (SELECT key, total, n, parts, c, n * c // parts AS p FROM (SELECT key, total, n, (n + {LIMIT - 1}) // {LIMIT} AS parts, unnest(range(1, (n + {LIMIT - 1}) // {LIMIT})) AS c FROM size_cut)),
 {_gap_sql("inner_cuts", "cut")},
 loc AS (SELECT key, c, quantile_cont(level, 0.5) + 1e-12 AS local FROM (
   SELECT f.key, f.c, f.m, var_pop(x.x) AS level FROM (SELECT key, c, unnest(range(greatest(0, p - 12), least(n, p + 12) - 1, 2)) + 1 AS m FROM inner_cuts) f
@@ -68,19 +84,27 @@ here AS (SELECT d.key, d.c, d.raw / local AS level, (SELECT var_pop(x) FROM xs W
 priced AS MATERIALIZED (
   SELECT d.key, d.c, d.y, d.raw / local + 0.01 * abs(d.y - d.p) / 100 AS cost FROM cand d JOIN loc USING (key, c) JOIN here h USING (key, c) LEFT JOIN gap_cut g USING (key, c)
   WHERE d.y = d.p OR (least(h.level, h.dip) >= 0.5 AND CASE WHEN g.gap IS NOT NULL THEN d.raw <= g.gap * 0.05 AND d.raw / local <= 0.02 ELSE d.raw / local <= h.level * 0.5 END)
-  UNION ALL SELECT key, parts, n, 0 FROM (SELECT key, n, (n + {LIMIT - 1}) // {LIMIT} AS parts FROM size)),
+  UNION ALL SELECT key, parts, n - d, 0.01 * d / 100 FROM (SELECT key, n, (n + {LIMIT - 1}) // {LIMIT} AS parts, unnest(range({given_up} + 1)) AS d FROM size_cut)),
 chain AS (
-  SELECT key, 0::BIGINT AS c, 0::BIGINT AS y, 0::DOUBLE AS cost, [0::BIGINT] AS path FROM size
+  SELECT key, 0::BIGINT AS c, 0::BIGINT AS y, 0::DOUBLE AS cost, [0::BIGINT] AS path FROM size_cut
   UNION ALL
   SELECT p.key, p.c, p.y, min(r.cost) + any_value(p.cost), list_append(arg_min(r.path, r.cost), p.y) FROM chain r
   JOIN priced p ON p.key = r.key AND p.c = r.c + 1 AND p.y - r.y <= {LIMIT} GROUP BY p.key, p.c, p.y),
 done AS (SELECT s.key, coalesce(any_value(c.path), list_transform(range(any_value((s.n + {LIMIT - 1}) // {LIMIT}) + 1), lambda k: any_value(s.n) * k // any_value((s.n + {LIMIT - 1}) // {LIMIT}))) AS path
-         FROM size s LEFT JOIN chain c ON c.key = s.key AND c.y = s.n AND c.c = (s.n + {LIMIT - 1}) // {LIMIT} GROUP BY s.key)"""
+         FROM size_cut s LEFT JOIN (SELECT key, c, arg_min(path, cost) AS path FROM chain GROUP BY key, c) c ON c.key = s.key AND c.c = (s.n + {LIMIT - 1}) // {LIMIT} GROUP BY s.key)"""
 
 QUERIES = [
     Query("in_gap", _gaps, with_views("SELECT key AS file, c AS cut, round(gap, 9) AS gap FROM gap_all", views.SIGNAL_SQL, _SIZE_SQL, _gap_sql("pts", "all"))),
     Query(
         "quiet_cuts", _cuts,
-        with_views("SELECT key AS file, unnest(range(len(path))) AS k, unnest(path) AS \"at\" FROM done", views.SIGNAL_SQL, _SIZE_SQL, _CUT_SQL).replace("WITH ", "WITH RECURSIVE ", 1),
+        with_views("SELECT key AS file, unnest(range(len(path))) AS k, unnest(path) AS \"at\" FROM done", views.SIGNAL_SQL, _SIZE_SQL, _cut_sql("SELECT key, n, total FROM size", 0)).replace("WITH ", "WITH RECURSIVE ", 1),
+    ),
+    Query(
+        "split_all", _split,
+        with_views(
+            f"""SELECT key AS file, path[k] AS s, path[k + 1] AS e FROM (SELECT key, path, unnest(range(1, len(path))) AS k FROM done)
+                UNION ALL SELECT key, path[len(path)], total FROM done JOIN size_cut USING (key)""",
+            views.SIGNAL_SQL, _SIZE_SQL, _cut_sql(f"SELECT key, n - {TAIL} AS n, n AS total FROM size WHERE n > {TAIL}", 4),
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
     ),
 ]
