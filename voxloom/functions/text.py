@@ -13,6 +13,7 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 SPACE = r"[\s\p{Z}]"
 MARKER = "▁"
+_DOTLESS = "\ue000"  # stands for a dotless i while case is folded
 
 # Full stops that end no sentence before a number.
 ABBREVIATIONS = (
@@ -42,10 +43,18 @@ def decode_tokens(tokens: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(unled, rf"{SPACE}(?![\p{{L}}\p{{N}}_'])", ""), SPACE, " ")
 
 
+def case_folded(text: Column) -> Column:
+    """Full case folding: lower case of upper case, which opens ligatures and
+    sharp s, with one sigma, and a dotless i that stays one."""
+    kept = F.replace(text, F.lit("ı"), F.lit(_DOTLESS))
+    # the capital sharp s goes between the two, which Catalyst would else make one
+    folded = F.replace(F.lower(F.replace(F.upper(kept), F.lit("ẞ"), F.lit("SS"))), F.lit("ς"), F.lit("σ"))
+    return F.replace(folded, F.lit(_DOTLESS), F.lit("ı"))
+
+
 def seam_key(word: Column) -> Column:
     """How two decodes of a word compare: word characters only, case folded."""
-    folded = F.lower(F.regexp_replace(word, NOT_WORD, ""))
-    return F.regexp_replace(F.regexp_replace(folded, "ß", "ss"), "[ς]", "σ")
+    return case_folded(F.regexp_replace(word, NOT_WORD, ""))
 
 
 def has_word_character(token: Column) -> Column:
