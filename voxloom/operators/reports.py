@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.intervals import binned_overlaps
+from voxloom.operators.scan import running
 
 
 def runtime_summary(runs: DataFrame) -> DataFrame:
@@ -87,3 +88,35 @@ def forced_cut_report(pieces: DataFrame, speech: DataFrame, words: DataFrame, *,
     cut = in_word.groupBy("file").agg(F.count("*").alias("in_word"), F.count_if(F.col("depth") > deep).alias("deep"))
     total = pieces.groupBy("file").agg(F.count("*").alias("pieces"))
     return total.join(held, "file", "left").join(cut, "file", "left").na.fill(0)
+
+
+def compare_plans(a: DataFrame, b: DataFrame, words: DataFrame, *, deep: int, within: int, block: int = 960_000) -> DataFrame:
+    """Per file, the cuts of two plans a and b(file, rs, re) against disjoint
+    words(file, s, e): how many each has, has inside a word, and has more than
+    `deep` inside one; how many of a's have a cut of b at most `within` away
+    (the nearest, the earlier of two), how many of those were moved, and how many
+    then lie less deep in a word, or deeper. One scan of the line finds the word
+    that holds a cut and the other plan's cuts beside it, so no pairs are formed."""
+
+    def cuts(plan: DataFrame, kind: int) -> DataFrame:
+        meets = plan.select("file", F.col("rs").alias("x"))
+        return plan.select("file", F.col("re").alias("x")).distinct().join(meets, ["file", "x"], "left_semi").withColumn("_k", F.lit(kind)).withColumn("_w", F.lit(None).cast("struct<s:bigint,e:bigint>"))
+
+    held = words.where("e > s").select("file", F.col("s").alias("x"), F.lit(2).alias("_k"), F.struct(F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e")).alias("_w"))
+    line = cuts(a, 0).unionByName(cuts(b, 1)).unionByName(held)
+    other = F.when(F.col("_k") == 1, F.col("x"))
+    seen = running(
+        line, ["file"], ["x", "_k"], F.floor(F.col("x") / block), before={"_word": ("last", F.col("_w")), "_prior": ("last", other)}, after={"_next": ("first", other)}
+    ).where("_k < 2")
+    depth = F.coalesce(F.when(F.col("_word.e") > F.col("x"), F.least(F.col("x") - F.col("_word.s"), F.col("_word.e") - F.col("x"))), F.lit(0))
+    near = F.when(F.coalesce(F.col("x") - F.col("_prior") <= F.col("_next") - F.col("x"), F.col("_next").isNull()), F.col("_prior")).otherwise(F.col("_next"))
+    told = seen.select("file", "x", "_k", depth.alias("depth"), F.when((F.col("_k") == 0) & (F.abs(near - F.col("x")) <= within), near).alias("_to"))
+    theirs = told.where("_k = 1").select("file", F.col("x").alias("_to"), F.col("depth").alias("_depth"))
+    both = told.join(theirs, ["file", "_to"], "left")
+    mine, yours, paired = F.col("_k") == 0, F.col("_k") == 1, F.col("_to").isNotNull()
+    counts = {
+        "cuts_a": mine, "cuts_b": yours, "in_word_a": mine & (F.col("depth") > 0), "in_word_b": yours & (F.col("depth") > 0),
+        "deep_a": mine & (F.col("depth") > deep), "deep_b": yours & (F.col("depth") > deep), "aligned": paired, "moved": paired & (F.col("_to") != F.col("x")),
+        "better": paired & (F.col("_depth") < F.col("depth")), "worse": paired & (F.col("_depth") > F.col("depth")),
+    }
+    return both.groupBy("file").agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxloom.operators import cuts
+from voxloom.operators import cuts, reports
+from voxloom.operators.intervals import even_split
 from voxloom.plans import views
 from voxloom.queries.base import Query, with_views
 
@@ -47,6 +48,19 @@ def _split(spark, sf_dir):
     return out.select("file", "s", "e")
 
 
+def _compare(spark, sf_dir):
+    """Even parts against parts at quiet points; a word is five values of every seven."""
+    blocks, sizes = _signal(spark, sf_dir)
+    none = F.lit(None).cast("bigint")
+    ranges = sizes.select("file", F.lit(0).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("s"), F.col("total").alias("e"), none.alias("latest"), none.alias("earliest"))
+    moved = cuts.quiet_cuts(ranges, blocks, sizes, LIMIT, block=BLOCK, cutting=SMALL)
+    parts = moved.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda k: F.struct(F.get("cuts", k - 1).alias("rs"), F.get("cuts", k).alias("re")))).alias("p"))
+    even = even_split(ranges.select("file", "s", "e"), LIMIT).select("file", F.col("s").alias("rs"), F.col("e").alias("re"))
+    k = sizes.select("file", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("total") / 7))).alias("k"))
+    words = k.select("file", (F.col("k") * 7).alias("s"), (F.col("k") * 7 + 5).alias("e"))
+    return reports.compare_plans(even, parts.select("file", "p.rs", "p.re"), words, deep=1, within=SMALL.search, block=256)
+
+
 _SIZE_SQL = """
 xs AS MATERIALIZED (SELECT key, pos, x / 1000 AS x FROM sig),
 size AS (SELECT key, count(*) AS n, count(*) AS total FROM xs GROUP BY key),
@@ -107,4 +121,18 @@ QUERIES = [
             views.SIGNAL_SQL, _SIZE_SQL, _cut_sql(f"SELECT key, n - {TAIL} AS n, n AS total FROM size WHERE n > {TAIL}", 4),
         ).replace("WITH ", "WITH RECURSIVE ", 1),
     ),
+    Query(
+        "plan_quality_report", _compare,
+        with_views(
+            """SELECT key AS file, count(*) FILTER (WHERE a) AS cuts_a, count(*) FILTER (WHERE NOT a) AS cuts_b, count(*) FILTER (WHERE a AND depth > 0) AS in_word_a,
+                 count(*) FILTER (WHERE NOT a AND depth > 0) AS in_word_b, count(*) FILTER (WHERE a AND depth > 1) AS deep_a, count(*) FILTER (WHERE NOT a AND depth > 1) AS deep_b,
+                 count(*) FILTER (WHERE a AND gone IS NOT NULL) AS aligned, count(*) FILTER (WHERE a AND gone <> p) AS moved,
+                 count(*) FILTER (WHERE a AND greatest(0, least(gone % 7, 5 - gone % 7)) < depth) AS better, count(*) FILTER (WHERE a AND greatest(0, least(gone % 7, 5 - gone % 7)) > depth) AS worse
+               FROM (SELECT *, greatest(0, least(p % 7, 5 - p % 7)) AS depth FROM (
+                 SELECT key, p, TRUE AS a, (SELECT arg_min(q.p, abs(q.p - i.p) * 1000000 + q.p) FROM qc q WHERE q.key = i.key AND abs(q.p - i.p) <= 5) AS gone FROM inner_cuts i
+                 UNION ALL SELECT key, p, FALSE, NULL FROM qc)) GROUP BY key""",
+            views.SIGNAL_SQL, _SIZE_SQL, _cut_sql("SELECT key, n, total FROM size", 0),
+            "qc AS MATERIALIZED (SELECT key, path[k] AS p FROM (SELECT key, path, unnest(range(2, len(path))) AS k FROM done))",
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
+    ),
 ]
