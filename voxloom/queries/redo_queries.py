@@ -9,7 +9,7 @@ from voxloom.operators import redo
 from voxloom.operators.seams import trim_overlaps
 from voxloom.plans import views
 from voxloom.queries.base import Query, with_views
-from voxloom.queries.seam_queries import _SKIP_SQL, _STRETCH_SQL, DECODED_SQL, _skipping, decoded
+from voxloom.queries.seam_queries import _SKIP_SQL, _STRETCH_SQL, _WINDOW_SQL, DECODED_SQL, _skipping, decoded
 from voxloom.session import cut_lineage
 
 
@@ -63,9 +63,6 @@ def _protect(spark, sf_dir):
 
 
 _REDO_SQL = """
-rw AS (
-  SELECT *, CASE WHEN a0 = ws AND b0 = we THEN s ELSE a0 END AS a, CASE WHEN a0 = ws AND b0 = we THEN e ELSE b0 END AS b
-  FROM (SELECT p.*, st.s, st.e, greatest(p.ws, st.s - 32000) AS a0, least(p.we, st.e + 32000) AS b0 FROM st JOIN pcs p USING (file, piece)) WHERE NOT (s = ws AND e = we)),
 heard AS (SELECT r.*, d.i, d.pt, d.word, max(d.i) OVER (PARTITION BY r.file, r.piece, r.s) AS final FROM rw r JOIN dec d ON d.file = r.file AND d.piece = r.piece AND d.pt >= r.a AND d.pt < r.b),
 sides AS (SELECT file, piece, s, max(pt) FILTER (WHERE pt < s) AS prior, min(pt) FILTER (WHERE pt >= e) AS later
           FROM heard WHERE i % 16 NOT BETWEEN 7 AND 13 AND regexp_matches(word, '[\\p{L}\\p{N}_]') GROUP BY file, piece, s),
@@ -80,7 +77,7 @@ QUERIES = [
         with_views(
             """SELECT p.file, p.piece, coalesce(string_agg('▁' || w.word, '' ORDER BY w.i), '') AS said, count(*) FILTER (WHERE w.inside) AS new
                FROM pcs p LEFT JOIN (SELECT file, piece, i, word, FALSE AS inside FROM skp UNION ALL SELECT file, piece, i, word, inside FROM ins) w USING (file, piece) GROUP BY p.file, p.piece""",
-            DECODED_SQL, _SKIP_SQL, _STRETCH_SQL, _REDO_SQL,
+            DECODED_SQL, _SKIP_SQL, _STRETCH_SQL, _WINDOW_SQL, _REDO_SQL,
         ),
     ),
     Query(

@@ -97,6 +97,17 @@ gp AS (SELECT p.file, p.piece, p.rs, p.re, p.ws, p.we, m.pt, lead(m.pt) OVER (PA
 st AS (SELECT file, piece, greatest(pt + 5120, rs) AS s, least(coalesce(nx, we), re) AS e FROM gp
        WHERE least(coalesce(nx, we), re) - greatest(pt + 5120, rs) >= 48000)"""
 
+# stretches lie too far apart here for their windows to meet
+_WINDOW_SQL = """
+rw AS (
+  SELECT *, CASE WHEN a0 = ws AND b0 = we THEN s ELSE a0 END AS a, CASE WHEN a0 = ws AND b0 = we THEN e ELSE b0 END AS b
+  FROM (SELECT p.*, st.s, st.e, greatest(p.ws, st.s - 32000) AS a0, least(p.we, st.e + 32000) AS b0 FROM st JOIN pcs p USING (file, piece)) WHERE NOT (s = ws AND e = we))"""
+_PAIRED_SQL = r"""
+keyed AS MATERIALIZED (SELECT *, ws / 16000::DOUBLE + (k * 8 / 10::DOUBLE + CASE WHEN piece % 2 = 1 THEN 0.03::DOUBLE ELSE 0::DOUBLE END) AS told,
+                              replace(lower(regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g')), 'ß', 'ss') AS key FROM dec),
+paired AS MATERIALIZED (SELECT l.file, l.piece, l.i, l.k AS lk, r.k AS rk, l.told AS lt, r.told AS rt, l.rs, l.re, l.we, r.ws AS nws, r.rs AS nrs, r.re AS nre
+                        FROM keyed l JOIN keyed r ON r.file = l.file AND r.piece = l.piece + 1 AND r.i = l.i AND r.key = l.key WHERE l.key <> '' AND abs(l.told - r.told) <= 0.4)"""
+
 
 def _untimed(spark, sf_dir):
     found = rc.untimed_stretches(_skipping(spark, sf_dir))
@@ -200,8 +211,24 @@ def _endings(spark, sf_dir):
 
 
 QUERIES = [
-    Query("match_sequences", _matches),
-    Query("seam", _seams),
+    Query(
+        "match_sequences", _matches,
+        with_views(
+            """SELECT a.file, a.piece, (SELECT count(*) FROM paired p WHERE p.file = a.file AND p.piece = a.piece) AS matched
+               FROM pcs a JOIN pcs b ON b.file = a.file AND b.piece = a.piece + 1""",
+            DECODED_SQL, _PAIRED_SQL,
+        ),
+    ),
+    Query(
+        "seam", _seams,
+        with_views(
+            """SELECT file, piece, coalesce(max(lk) FILTER (WHERE early) + 1, 0)::INT AS left_first, coalesce(min(lk) FILTER (WHERE NOT early), 1073741824)::INT AS left_stop,
+                 coalesce(max(rk) FILTER (WHERE early) + 1, 0)::INT AS right_first, coalesce(min(rk) FILTER (WHERE NOT early), 1073741824)::INT AS right_stop
+               FROM (SELECT *, greatest(lt, rt) < re / 16000::DOUBLE AS early, least(1::DOUBLE, (re - rs) / 32000::DOUBLE, (nre - re) / 32000::DOUBLE) AS reach FROM paired WHERE nrs = re AND NOT (we = re AND nws = re))
+               WHERE abs(lt - re / 16000::DOUBLE) <= reach AND abs(rt - re / 16000::DOUBLE) <= reach GROUP BY file, piece""",
+            DECODED_SQL, _PAIRED_SQL,
+        ),
+    ),
     Query(
         "trim_overlaps", _trim,
         with_views(
@@ -243,7 +270,10 @@ QUERIES = [
             DECODED_SQL, _SKIP_SQL, _STRETCH_SQL, "rd AS (SELECT * FROM dec WHERE file % 5 <> 0 OR k < 9)",
         ),
     ),
-    Query("redo_windows", _redo),
+    Query(
+        "redo_windows", _redo,
+        with_views("SELECT file, piece, row_number() OVER (PARTITION BY file, piece ORDER BY s) - 1 AS k, a AS s, b AS e FROM rw", DECODED_SQL, _SKIP_SQL, _STRETCH_SQL, _WINDOW_SQL),
+    ),
     Query(
         "words_near_cut", _near_cut,
         with_views(
