@@ -294,6 +294,18 @@ QUERIES = [
             DECODED_SQL,
         ),
     ),
-    Query("select_endings", _endings),
+    Query(
+        "select_endings", _endings,
+        with_views(
+            """SELECT file, piece, any_value(begin) AS begin, round(quantile_cont(level, 0.95), 6) AS top
+               FROM (SELECT file, piece, begin, f, n, CASE WHEN f >= n - 3 - file % 5 THEN 0.01::DOUBLE ELSE 0.5 + (f % 10) / 20::DOUBLE END AS level FROM (
+                 SELECT *, (we - ws) // 320 AS n, unnest(range((begin - ws) // 320, (we - ws) // 320)) AS f FROM ends))
+               GROUP BY file, piece HAVING count(*) >= 5 AND max(level) FILTER (WHERE f >= n - 5) <= quantile_cont(level, 0.95) * pow(10, -0.75)""",
+            DECODED_SQL,
+            """heard AS (SELECT file, piece, ws, we, list(x ORDER BY i) AS xs, count(*) FILTER (WHERE x < we - 12000) AS early
+                 FROM (SELECT *, pt + CASE WHEN file % 3 = 0 THEN 2000 ELSE 0 END AS x FROM dec WHERE we = re) GROUP BY file, piece, ws, we),
+               ends AS (SELECT *, greatest(ws, we - 256000, least(we - 128000, xs[greatest(early, 1)] - 16000)) AS begin FROM heard WHERE len(xs) >= 2 AND xs[len(xs)] >= we - 12000)""",
+        ),
+    ),
     Query("drop_made_up_endings", _made_up),
 ]
