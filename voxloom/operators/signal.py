@@ -1,19 +1,20 @@
 """Loudness of a sampled signal and what it says about speech.
 
-Samples are rows (keys, pos, x) with dense integer positions. Framed values
-use blocks with a halo, so one long file is spread over many tasks.
+Samples are arrays in blocks (`operators/blocks.py`), so one long file is spread
+over many tasks; frames are arrays by block until a gate asks for each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import let, part
+from voxloom.operators.blocks import map_arrays, seams, with_neighbours
 from voxloom.operators.intervals import join_dips, overlap_sum, runs, whole
-from voxloom.operators.scan import BLOCK, with_halo
 
 # Fixed values, at 16 kHz and 20 ms frames.
 RATE = 16_000
@@ -23,6 +24,7 @@ SMOOTH_FRAMES = 12
 QUIETEST = 1e-3
 PAUSE_FRAMES, PAUSE_DB = 12, 25.0
 SYLLABLE_FRAMES, LOUD_DB = 3, 15.0
+DIRECT_SPAN = 16  # samples, not one of the fixed values
 WINDOW_SEC, CONTEXT_SEC, TAIL_SEC, LEAST_SAMPLES = 30, 2, 1, 400
 
 
@@ -52,68 +54,69 @@ def normalise_samples(interleaved: Column, channels: int, cap: int) -> Column:
     return F.transform(kept, finite)
 
 
-def frame_signal(samples: DataFrame, keys: Sequence[str], frame: int = FRAME) -> DataFrame:
+def framed(blocks: DataFrame, keys: Sequence[str], size: int, frame: int = FRAME) -> DataFrame:
+    """blocks(keys, block, x) to (keys, block, mean, var): arrays with an entry for
+    each whole frame, told block by block where it is read. `size` is a multiple
+    of `frame`, so no frame lies in two blocks; a last block of no whole frame
+    has empty arrays."""
+    if size % frame:
+        raise ValueError("a block must hold whole frames")
+
+    def kernel(x: np.ndarray) -> tuple:
+        whole_frames = x[: len(x) // frame * frame].reshape(-1, frame)
+        return whole_frames.mean(axis=1), whole_frames.var(axis=1)
+
+    known = blocks.where(F.col("x").isNotNull())
+    return map_arrays(known, [*keys, "block"], ["x"], [], {"mean": "array<double>", "var": "array<double>"}, kernel)
+
+
+def frame_signal(blocks: DataFrame, keys: Sequence[str], size: int, frame: int = FRAME) -> DataFrame:
     """(keys, f, mean, var) of each whole frame."""
-    return (
-        samples.groupBy(*keys, whole(F.col("pos"), F.lit(frame)).alias("f"))
-        .agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.count("x").alias("_n"))
-        .where(F.col("_n") == frame)
-        .drop("_n")
-    )
+    each = framed(blocks, keys, size, frame).select(*keys, "block", F.posexplode(F.arrays_zip("mean", "var")).alias("i", "v"))
+    return each.select(*keys, (F.col("block") * (size // frame) + F.col("i")).alias("f"), "v.mean", "v.var")
+
+
+def steady_offset(means: np.ndarray, low: int, first: int, count: int, n: int, smooth: int, around: int) -> np.ndarray:
+    """The offset under frames [first, first + count) of a file of `n` frames, from
+    the `means` of its frames from `low` on: all that lie within reach."""
+    half, width = around // 2, min(smooth, n)
+    asked = np.arange(first - half, first + count + half)
+    turned = asked % (2 * n)  # frames mirrored at the ends, again and again in a short file
+    places, back = np.unique(np.where(turned < n, turned, 2 * n - 1 - turned), return_inverse=True)
+    start = np.clip(places - smooth // 2, 0, n - width) - low
+    smoothed = np.lib.stride_tricks.sliding_window_view(means, width)[start].mean(axis=1)
+    return np.median(np.lib.stride_tricks.sliding_window_view(smoothed[back], 2 * half + 1), axis=1)
 
 
 def frame_levels(
-    framed: DataFrame,
-    keys: Sequence[str],
-    *,
-    smooth: int = SMOOTH_FRAMES,
-    around: int = OFFSET_FRAMES,
-    block: int = 8192,
+    frames: DataFrame, keys: Sequence[str], per_block: int, *, smooth: int = SMOOTH_FRAMES, around: int = OFFSET_FRAMES
 ) -> DataFrame:
-    """(keys, f, rms): frame loudness less a steady offset. The offset is the
-    median, over `around` frames mirrored at the ends, of frame means averaged
-    over `smooth` frames kept inside the file; none under -60 dBFS."""
+    """frames(keys, block, mean, var), as `framed` gives them with `per_block` frames
+    in a block, to (keys, f, rms): frame loudness less a steady offset. The offset
+    is the median, over `around` frames mirrored at the ends, of frame means averaged
+    over `smooth` frames kept inside the file; none under -60 dBFS. A block takes
+    the frames within reach from its two neighbours."""
     keys = list(keys)
-    half, left = around // 2, smooth // 2
-    size = framed.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.avg("mean").alias("_all")
-    )
-    # A frame near an end takes the average of the last window that fits, which
-    # is centred on a frame at most `smooth` away: one more window, no join.
-    spread, own = with_halo(framed.join(size, keys), keys, "f", 2 * smooth, block)
-    place = Window.partitionBy(*keys, BLOCK).orderBy("f")
-    tail = F.col("_n") - smooth + left
-    smoothed = (
-        spread.withColumn("_a", F.avg("mean").over(place.rowsBetween(-left, smooth - left - 1)))
-        .withColumn("_head", F.max(F.when(F.col("f") == left, F.col("_a"))).over(place.rowsBetween(0, left)))
-        .withColumn("_tail", F.max(F.when(F.col("f") == tail, F.col("_a"))).over(place.rowsBetween(left - smooth, 0)))
-        .where(own)
-        .withColumn(
-            "_s",
-            F.when(F.col("_n") < smooth, F.col("_all"))
-            .when(F.col("f") < left, F.col("_head"))
-            .when(F.col("f") > tail, F.col("_tail"))
-            .otherwise(F.col("_a")),
-        )
-        .select(*keys, "f", "mean", "var", "_n", "_s")
-    )
-    f, n = F.col("f"), F.col("_n")
-    turns = F.ceil(F.lit(half) / (2 * n)) + 1
-    images = F.flatten(
-        F.transform(F.sequence(-turns, turns), lambda k: F.array(f + 2 * n * k, -1 - f + 2 * n * k))
-    )
-    mirrored = F.filter(images, lambda at: (at >= -half) & (at < n + half))
-    at_edge = (f < half) | (f >= n - half)
-    padded = smoothed.withColumn("_at", F.explode(F.when(at_edge, mirrored).otherwise(F.array(f))))
-    wide, own = with_halo(padded, keys, "_at", half, block)
-    centred = Window.partitionBy(*keys, BLOCK).orderBy("_at").rowsBetween(-half, half)
-    median = wide.withColumn("_o", F.percentile("_s", F.lit(0.5)).over(centred)).where(
-        own & (F.col("_at") == F.col("f"))
+    reach = around // 2 + 2 * smooth
+    if per_block < reach:
+        raise ValueError(f"a block must hold at least {reach} frames")
+    held = frames.where(F.size("mean") > 0)
+    counts = held.groupBy(*keys).agg(F.sum(F.size("mean")).cast("long").alias("_n"))
+    near = with_neighbours(held, keys, reach, ["mean"]).join(counts, keys)
+
+    def kernel(mean, var, before, after, block, n) -> tuple:
+        means = np.concatenate([v for v in (before, mean, after) if v is not None])
+        first = block * per_block
+        low = first - (0 if before is None else len(before))
+        offset = steady_offset(means, low, first, len(mean), n, smooth, around)
+        offset = offset * np.clip(np.abs(offset) / 1e-3 - 1, 0.0, 1.0)
+        return (np.sqrt(var + np.minimum(mean * mean, (mean - offset) ** 2) + 1e-12),)
+
+    levels = map_arrays(
+        near, [*keys, "block"], ["mean", "var", "_before_mean", "_after_mean"], ["block", "_n"], {"rms": "array<double>"}, kernel
     )
-    offset = F.col("_o") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.abs("_o") / 1e-3 - 1))
-    away = F.col("mean") - offset
-    return median.select(
-        *keys, "f", F.sqrt(F.col("var") + F.least(F.col("mean") * F.col("mean"), away * away) + 1e-12).alias("rms")
+    return levels.select(*keys, "block", F.posexplode("rms").alias("i", "rms")).select(
+        *keys, (F.col("block") * per_block + F.col("i")).alias("f"), "rms"
     )
 
 
@@ -154,21 +157,58 @@ def filter_has_speech(clips: DataFrame, spans: DataFrame, keys: Sequence[str], *
     return overlap_sum(spans, clips, keys, block=bin_size).where("overlap > 0").withColumnRenamed("overlap", "speech")
 
 
-def span_power(samples: DataFrame, keys: Sequence[str], span: int, *, block: int = 65536) -> DataFrame:
-    """(keys, pos, power): mean power of the `span` samples around each
-    position, less their mean's, clipped at the ends."""
+def power_around(x: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """The mean power of the `span` samples around each place of `x`, less their
+    mean's; fewer samples at its ends. A short span is added up sample by sample,
+    which is as quick as running sums and more exact."""
     half = span // 2
-    spread, own = with_halo(samples, keys, "pos", half, block)
-    near = Window.partitionBy(*keys, BLOCK).orderBy("pos").rowsBetween(-half, half - 1)
-    mean = F.avg("x").over(near)
-    power = F.avg(F.col("x") * F.col("x")).over(near) - mean * mean
-    return spread.withColumn("power", F.greatest(power, F.lit(0.0))).where(own).select(*keys, "pos", "power")
+    low, high = np.clip(at - half, 0, len(x)), np.clip(at + half, 0, len(x))
+    n = np.maximum(high - low, 1)
+    if span <= DIRECT_SPAN:
+        still = np.concatenate([np.zeros(half), x, np.zeros(half)])
+        total, squares = np.zeros(len(at)), np.zeros(len(at))
+        for step in range(2 * half):
+            value = still[at + step]
+            total += value
+            squares += value * value
+    else:
+        away = x - (x.mean() if len(x) else 0.0)
+        sums, powers = (np.concatenate([[0.0], np.cumsum(v)]) for v in (away, away * away))
+        total, squares = sums[high] - sums[low], powers[high] - powers[low]
+    return np.maximum(squares / n - (total / n) * (total / n), 0.0)
+
+
+def span_power(blocks: DataFrame, keys: Sequence[str], span: int, size: int) -> DataFrame:
+    """blocks(keys, block, x) to (keys, pos, power): runs of consecutive samples
+    from `pos` on, with the mean power of the `span` samples around each, less
+    their mean's, clipped at the file's ends. Inside a block it is told where the
+    block is read; only `span` samples either side of an edge are shuffled."""
+    half = span // 2
+    if half < 1 or size < 2 * span:
+        raise ValueError("a span must be two samples at least, and a block two spans")
+    shape = {"pos": "bigint", "power": "array<double>"}
+
+    def inside(x, block) -> tuple:
+        return block * size + half, power_around(x, np.arange(half, len(x) - half), span)
+
+    def across(tail, head, edge) -> tuple:
+        left, right = (np.empty(0) if v is None else v for v in (tail, head))
+        stop = len(left) + (len(right) if len(right) < span else half)
+        start = max(0, len(left) - half)
+        return edge - (len(left) - start), power_around(np.concatenate([left, right]), np.arange(start, stop), span)
+
+    known = blocks.where(F.size("x") > 0)
+    own = map_arrays(known.where(F.size("x") >= span), [*keys], ["x"], ["block"], shape, inside)
+    # A file's first and last samples are at seams too, whose other side is null.
+    edges = map_arrays(seams(known, keys, span, size), [*keys], ["tail", "head"], ["edge"], shape, across)
+    return own.unionByName(edges).where(F.size("power") > 0)
 
 
 def standardise_windows(
-    samples: DataFrame,
+    blocks: DataFrame,
     sizes: DataFrame,
     keys: Sequence[str],
+    size: int,
     *,
     window: int = WINDOW_SEC * RATE,
     context: int = CONTEXT_SEC * RATE,
@@ -176,32 +216,47 @@ def standardise_windows(
     least: int = LEAST_SAMPLES,
 ) -> DataFrame:
     """(keys, win, core_s, core_e, n, mean, scale): each core window with its
-    context, a short tail folded into the window before. A sample lies in at
-    most three windows, so it is copied rather than joined by range."""
+    context, a short tail folded into the window before. Windows meet only at
+    `context` from an edge, so a block is summed up by the three stretches of a
+    window (its first and last `context`, and what lies between), and windows are
+    put together from stretches: no sample is shuffled or copied."""
+    if window < 2 * context:
+        raise ValueError("a window must be twice its context")
+
+    def sum_up(x, block) -> tuple:
+        first = block * size
+        turns = np.arange(first // window, (first + len(x) - 1) // window + 1)[:, None] * window
+        marks = np.unique(np.clip((turns + np.array([0, context, window - context])).ravel(), first, first + len(x) - 1))
+        at = np.unique(np.concatenate([[first], marks]))
+        n = np.diff(np.concatenate([at, [first + len(x)]]))
+        mean = np.add.reduceat(x, at - first) / n
+        off = np.add.reduceat((x - np.repeat(mean, n)) ** 2, at - first)
+        within = at % window
+        stretch = np.where(within < context, 0, np.where(within < window - context, 1, 2))
+        return at // window, stretch, n, mean, off
+
+    shape = {"k": "array<bigint>", "stretch": "array<bigint>", "n": "array<bigint>", "mean": "array<double>", "off": "array<double>"}
+    summed = map_arrays(blocks.where(F.size("x") > 0), [*keys], ["x"], ["block"], shape, sum_up)
+    stretches = summed.select(*keys, F.inline(F.arrays_zip(*shape)))
+    sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("_x"), F.sum(F.col("off") + F.col("n") * F.col("mean") * F.col("mean")).alias("_xx")]
+    by_stretch = stretches.groupBy(*keys, "k", "stretch").agg(*sums)
     n = F.col("n_samples")
     count = F.when((n % window > 0) & (n % window < tail) & (n > window), whole(n, F.lit(window))).otherwise(
         whole(n + window - 1, F.lit(window))
     )
-    sized = samples.join(sizes.withColumn("_w", count), list(keys))
+    placed = by_stretch.join(sizes.withColumn("_w", count), list(keys))
     last = F.col("_w") - 1
-    reach = F.array_distinct(
-        F.array(
-            *[F.greatest(F.lit(0), F.least(last, whole(F.greatest(F.col("pos") + d, F.lit(0)), F.lit(window)))) for d in (-context, 0, context)]
-        )
+    beside = F.when(F.col("stretch") == 0, F.col("k") - 1).when(F.col("stretch") == 2, F.col("k") + 1).otherwise(F.col("k"))
+    homes = F.array_distinct(F.transform(F.array("k", beside), lambda v: F.greatest(F.lit(0), F.least(last, v))))
+    gathered = placed.withColumn("win", F.explode(homes)).groupBy(*keys, "win").agg(
+        F.min("_w").alias("_w"), F.min("n_samples").alias("_t"), F.sum("n").alias("n"), F.sum("_x").alias("_x"), F.sum("_xx").alias("_xx")
     )
-    return (
-        sized.withColumn("win", F.explode(reach))
-        .groupBy(*keys, "win")
-        .agg(
-            F.min("_w").alias("_w"), F.min("n_samples").alias("_t"), F.count("x").alias("n"),
-            F.avg("x").alias("mean"), F.sqrt(F.var_pop("x") + 1e-7).alias("scale"),
-        )
-        .where(F.col("n") >= least)
-        .select(
-            *keys, "win", (F.col("win") * window).alias("core_s"),
-            F.when(F.col("win") == F.col("_w") - 1, F.col("_t")).otherwise((F.col("win") + 1) * window).alias("core_e"),
-            "n", "mean", "scale",
-        )
+    mean = F.col("_x") / F.col("n")
+    spread = F.greatest(F.col("_xx") / F.col("n") - mean * mean, F.lit(0.0))
+    return gathered.where(F.col("n") >= least).select(
+        *keys, "win", (F.col("win") * window).alias("core_s"),
+        F.when(F.col("win") == F.col("_w") - 1, F.col("_t")).otherwise((F.col("win") + 1) * window).alias("core_e"),
+        "n", mean.alias("mean"), F.sqrt(spread + 1e-7).alias("scale"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import pinned
+from voxloom.operators.blocks import reblocked
 from voxloom.operators.scan import ordinal
 
 DAY_US = 86_400_000_000
@@ -46,6 +47,18 @@ sig AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY
                value AS x FROM events)"""
 
 
+def signal_blocks(spark: SparkSession, sf_dir: str, size: int, scale: float = 1.0) -> DataFrame:
+    """The same signal, over `scale`, as blocks(key, block, x): a user's day of
+    events is a chunk, and the chunks of all days are cut anew."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("key"), epoch_us("ts").alias("us"), "event_id", (F.col("value") / scale).alias("x")
+    )
+    days = events.groupBy("key", F.floor(F.col("us") / DAY_US).alias("ord")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", "x"))), lambda e: e["x"]).alias("x")
+    )
+    return reblocked(days, ["key"], size)
+
+
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """iv(key, id, kind, s, e): an event's second, and `value` minutes on."""
     events = table(spark, sf_dir, "events")

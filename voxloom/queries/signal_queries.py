@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxloom.operators import signal as sg
+from voxloom.operators.blocks import sizes_of
 from voxloom.plans import views
 from voxloom.queries.base import Query, with_views
 from voxloom.session import cut_lineage
 
 FRAME = 2
+SIZE = 128  # samples of a block
 
 
 def _samples(spark, sf_dir):
@@ -17,6 +19,10 @@ def _samples(spark, sf_dir):
     return views.signal(spark, sf_dir).withColumn("x", F.col("x") / 1000)
 
 
+def _blocks(spark, sf_dir):
+    return views.signal_blocks(spark, sf_dir, SIZE, 1000)
+
+
 _X_SQL = "xs AS (SELECT key, pos, x / 1000 AS x FROM sig)"
 _FRAMES_SQL = f"""
 fr AS (SELECT key, pos // {FRAME} AS f, avg(x) AS mean, var_pop(x) AS var FROM xs GROUP BY ALL HAVING count(*) = {FRAME})"""
@@ -33,16 +39,13 @@ lev AS (SELECT s.key, s.f, sqrt(var + least(mean * mean, (mean - off) * (mean -
         FROM smo s JOIN (SELECT key, f, o * greatest(0, least(1, abs(o) / 1e-3 - 1)) AS off FROM med) m USING (key, f))"""
 
 
-def _framed(spark, sf_dir):
-    return sg.frame_signal(_samples(spark, sf_dir), ["key"], FRAME)
-
-
 def _levels(spark, sf_dir):
-    return cut_lineage(sg.frame_levels(_framed(spark, sf_dir), ["key"]))
+    frames = sg.framed(_blocks(spark, sf_dir), ["key"], SIZE, FRAME)
+    return cut_lineage(sg.frame_levels(frames, ["key"], SIZE // FRAME))
 
 
 def _frame_signal(spark, sf_dir):
-    return _framed(spark, sf_dir).select("key", "f", F.round("mean", 12).alias("mean"), F.round("var", 12).alias("var"))
+    return sg.frame_signal(_blocks(spark, sf_dir), ["key"], SIZE, FRAME).select("key", "f", F.round("mean", 12).alias("mean"), F.round("var", 12).alias("var"))
 
 
 def _frame_rms(spark, sf_dir):
@@ -54,7 +57,7 @@ def _gate(spark, sf_dir):
 
 
 def _sizes(spark, sf_dir):
-    return _samples(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n_samples"))
+    return sizes_of(_blocks(spark, sf_dir), ["key"])
 
 
 def _spans(spark, sf_dir):
@@ -83,12 +86,14 @@ def _has_speech(spark, sf_dir):
 
 
 def _power(spark, sf_dir):
-    return sg.span_power(_samples(spark, sf_dir), ["key"], 8).select("key", "pos", F.round("power", 9).alias("power"))
+    runs = sg.span_power(views.signal_blocks(spark, sf_dir, 16, 1000), ["key"], 8, 16)
+    each = runs.select("key", "pos", F.posexplode("power").alias("i", "power"))
+    return each.select("key", (F.col("pos") + F.col("i")).alias("pos"), F.round("power", 9).alias("power"))
 
 
 def _standard(spark, sf_dir):
     out = sg.standardise_windows(
-        _samples(spark, sf_dir), _sizes(spark, sf_dir), ["key"], window=20, context=4, tail=6, least=5
+        _blocks(spark, sf_dir), _sizes(spark, sf_dir), ["key"], SIZE, window=20, context=4, tail=6, least=5
     )
     return out.select("key", "win", "core_s", "core_e", "n", F.round("mean", 8).alias("mean"), F.round("scale", 8).alias("scale"))
 
