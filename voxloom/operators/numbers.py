@@ -4,6 +4,8 @@ shuffled; only words with a digit near them are looked at."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -269,23 +271,62 @@ def choose_reading(scored: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.select(*keys, F.when(F.coalesce(led, F.lit(False)), F.col("other.said")).otherwise(own).alias("said"))
 
 
-def zero_variants(said: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, slot, rank, said): each zero of a reading said the other ways, one
-    slot at a time, the one already said first."""
-    tokens = F.split("said", " ")
-    zero = rf"^([^\p{{L}}\p{{N}}_]*)({'|'.join(nb.ZEROS)})([^\p{{L}}\p{{N}}_]*)$"
-    slots = said.withColumn("_t", tokens).select(*keys, "_t", F.posexplode("_t").alias("slot", "w")).where(F.col("w").rlike(zero))
-    own = F.regexp_extract("w", zero, 2)
-    ways = F.concat(F.array(own), F.filter(F.array(*[F.lit(z) for z in nb.ZEROS]), lambda z: z != own))
-    spoken = F.transform(
-        "_t",
+ZERO_TOKEN = rf"^([^\p{{L}}\p{{N}}_]*)({'|'.join(nb.ZEROS)})([^\p{{L}}\p{{N}}_]*)$"
+
+
+def _zero_ways(own: Column) -> Column:
+    return F.concat(F.array(own), F.filter(F.array(*[F.lit(z) for z in nb.ZEROS]), lambda z: z != own))
+
+
+def _with_zero(tokens: Column, slot: Column, zero: Column) -> Column:
+    """`tokens` with the zero at `slot` said as `zero`, its punctuation kept."""
+    return F.transform(
+        tokens,
         lambda t, i: F.when(
-            i == F.col("slot"), F.concat(F.regexp_extract("w", zero, 1), F.col("z"), F.regexp_extract("w", zero, 3))
+            i == slot, F.concat(F.regexp_extract(t, ZERO_TOKEN, 1), zero, F.regexp_extract(t, ZERO_TOKEN, 3))
         ).otherwise(t),
     )
-    return slots.select(*keys, "_t", "slot", "w", F.posexplode(ways).alias("rank", "z")).select(
-        *keys, "slot", "rank", F.array_join(spoken, " ").alias("said")
-    )
+
+
+def zero_variants(said: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, slot, rank, said): each zero of a reading said the other ways, one
+    slot at a time, the one already said first."""
+    slots = said.withColumn("_t", F.split("said", " ")).select(*keys, "_t", F.posexplode("_t").alias("slot", "w")).where(F.col("w").rlike(ZERO_TOKEN))
+    ways = slots.select(*keys, "_t", "slot", F.posexplode(_zero_ways(F.regexp_extract("w", ZERO_TOKEN, 2))).alias("rank", "z"))
+    return ways.select(*keys, "slot", "rank", F.array_join(_with_zero(F.col("_t"), F.col("slot"), F.col("z")), " ").alias("said"))
+
+
+def choose_zeros(said: DataFrame, keys: list[str], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """said(keys, said) with each zero said the way that scores best, slot by slot
+    from the left: a zero is judged with those before it as chosen and those after
+    it as they were. The way already said stays on a tie, or where no way has a
+    score (null or NaN, as where a reading does not fit).
+
+    `score` is given (keys, _of, rank, said) and adds a column `score`; it may join
+    or align. A round settles one slot of every reading that still has one, so
+    there are as many rounds as zeros in a reading, and each is a checkpoint. The
+    same text under the same keys comes back once; null and empty texts as they are."""
+    keys = list(keys)
+    worst = F.lit(float("-inf"))
+    zeros = F.filter(indices(F.size("_t")), lambda i: F.get("_t", i).rlike(ZERO_TOKEN))
+    held = cut_lineage(said.select(*keys, F.col("said").alias("_of"), "said").distinct())
+    tokens = held.withColumn("_t", F.split("said", " "))
+    counted = tokens.select(*keys, "_of", "said", F.when(F.col("said").isNull(), 0).otherwise(F.size(zeros)).alias("_zeros"))
+    rounds = counted.agg(F.max("_zeros")).first()[0] or 0
+    settled = counted.where(F.col("_zeros") == 0)
+    still = counted.where(F.col("_zeros") > 0)
+    for turn in range(rounds):
+        at = still.withColumn("_t", F.split("said", " ")).withColumn("_slot", F.get(zeros, F.lit(turn)))
+        own = F.regexp_extract(F.get("_t", F.col("_slot")), ZERO_TOKEN, 2)
+        ways = at.select(*keys, "_of", "_t", "_slot", "_zeros", F.posexplode(_zero_ways(own)).alias("rank", "z")).select(
+            *keys, "_of", "_zeros", "rank", F.array_join(_with_zero(F.col("_t"), F.col("_slot"), F.col("z")), " ").alias("said")
+        )
+        liked = F.coalesce(F.nanvl(F.col("score").cast("double"), worst), worst)
+        best = F.max(F.struct(liked.alias("score"), (-F.col("rank")).alias("r"), F.col("said").alias("said")))
+        chosen = cut_lineage(score(ways).groupBy(*keys, "_of", "_zeros").agg(best["said"].alias("said")))
+        settled = settled.unionByName(chosen.where(F.col("_zeros") == turn + 1))
+        still = chosen.where(F.col("_zeros") > turn + 1)
+    return settled.select(*keys, "said")
 
 
 VALUES = "array<struct<parse:int,i:int,number:decimal(38,10),exact:string,decade:boolean,digits:string>>"

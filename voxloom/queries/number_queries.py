@@ -149,6 +149,41 @@ def _zeros(spark, sf_dir):
     return no.zero_variants(said, ["id"])
 
 
+_ZEROS_SQL = """
+WITH d AS (SELECT o_orderkey AS id, unnest(string_split(CAST(o_orderkey AS VARCHAR), '')) AS x, generate_subscripts(string_split(CAST(o_orderkey AS VARCHAR), ''), 1) - 1 AS i FROM orders),
+t AS (SELECT id, i, x, CASE x WHEN '0' THEN 'oh' WHEN '1' THEN 'one' WHEN '2' THEN 'two' WHEN '3' THEN 'three' WHEN '4' THEN 'four' WHEN '5' THEN 'five'
+        WHEN '6' THEN 'six' WHEN '7' THEN 'seven' WHEN '8' THEN 'eight' ELSE 'nine' END AS w FROM d)
+SELECT a.id, CAST(a.i AS INTEGER) AS slot, CAST(v.rank AS INTEGER) AS rank, string_agg(CASE WHEN b.i = a.i THEN v.z ELSE b.w END, ' ' ORDER BY b.i) AS said
+FROM t a JOIN t b USING (id) CROSS JOIN (VALUES (0, 'oh'), (1, 'zero'), (2, 'nought')) v(rank, z) WHERE a.x = '0' GROUP BY ALL"""
+
+
+def _liked(ways):
+    """A score that hangs on the whole text, with many ties: a digit of its digest."""
+    return ways.withColumn("score", F.conv(F.substring(F.md5("said"), 1, 1), 16, 10).cast("double"))
+
+
+def _zero_choice(spark, sf_dir):
+    said = views.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), nb.digit_words(F.col("o_orderkey").cast("string"), "oh").alias("said")
+    )
+    return no.choose_zeros(said, ["id"], _liked)
+
+
+_ZERO_CHOICE_SQL = """
+WITH RECURSIVE o AS (SELECT o_orderkey AS id, string_split(CAST(o_orderkey AS VARCHAR), '') AS d FROM orders),
+z AS (SELECT id, list_transform(d, lambda x: CASE x WHEN '0' THEN 'oh' WHEN '1' THEN 'one' WHEN '2' THEN 'two' WHEN '3' THEN 'three' WHEN '4' THEN 'four'
+        WHEN '5' THEN 'five' WHEN '6' THEN 'six' WHEN '7' THEN 'seven' WHEN '8' THEN 'eight' ELSE 'nine' END) AS t,
+        list_filter(range(1, len(d) + 1), lambda i: d[i] = '0') AS slots FROM o),
+c AS (SELECT id, t, slots, 0 AS r FROM z
+      UNION ALL
+      SELECT id, CASE WHEN ha >= hb AND ha >= hd THEN a WHEN hb >= hd THEN b ELSE d END, slots, r + 1
+      FROM (SELECT *, substr(md5(array_to_string(a, ' ')), 1, 1) AS ha, substr(md5(array_to_string(b, ' ')), 1, 1) AS hb, substr(md5(array_to_string(d, ' ')), 1, 1) AS hd
+            FROM (SELECT id, slots, r, t AS a, list_concat(list_concat(t[:slots[r + 1] - 1], ['zero']), t[slots[r + 1] + 1:]) AS b,
+                         list_concat(list_concat(t[:slots[r + 1] - 1], ['nought']), t[slots[r + 1] + 1:]) AS d FROM c WHERE r < len(slots)))
+)
+SELECT id, array_to_string(t, ' ') AS said FROM c WHERE r = len(slots)"""
+
+
 def _match(spark, sf_dir):
     """Part keys said in three ways, matched against how their sizes are written."""
     parts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("n"), F.col("p_partkey").alias("k"))
@@ -204,7 +239,8 @@ QUERIES = [
     Query("rivals", _rivals),
     Query("needs_audio_flag", _needs),
     Query("choose_reading", _choose, _CHOOSE_SQL),
-    Query("zero_variants", _zeros),
+    Query("zero_variants", _zeros, _ZEROS_SQL),
+    Query("choose_zeros", _zero_choice, _ZERO_CHOICE_SQL),
     Query(
         "match_said_to_written", _match,
         "SELECT p_partkey AS id, 0 AS pos FROM part WHERE p_partkey % 60 = p_size OR (p_size = 100 AND FALSE)",
