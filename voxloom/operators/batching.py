@@ -8,41 +8,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators.scan import ordinal
+
 # Default caps.
 MAX_ROWS = 4
 MAX_PADDED = 300 * 16_000
+SLICE_ROWS = 1024  # arrivals packed in one row; not one of the fixed values
 
 
 def pack_batches(
-    pieces: DataFrame, *, max_rows: int = MAX_ROWS, max_padded: int = MAX_PADDED, slice_rows: int = 1024
+    pieces: DataFrame, *, max_rows: int = MAX_ROWS, max_padded: int = MAX_PADDED, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """pieces(model, shard, ord, n) to the same with `batch`: consecutive rows of
     one model, at most `max_rows`, rows x longest at most `max_padded`, the
-    first row always admitted.
+    first row always admitted; a null length is 0.
 
-    `shard` is a bounded slice of a model's arrivals (one producer's, or `ord`
-    divided by a fixed size); each is packed by itself, so a model with most of
-    the work is packed by many tasks."""
+    A shard's arrivals are cut by their ordinals into slices of `slice_rows`, each
+    packed by itself in one row, so a model with most of the work is packed by many
+    tasks; a slice may leave its last batch short. Batches are numbered within a
+    shard, a slice's from its first ordinal on."""
     state = F.struct(
         F.lit(-1).cast("long").alias("batch"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("longest"),
         F.array().cast("array<struct<ord:bigint,n:bigint,batch:bigint>>").alias("out"),
     )
 
     def admit(acc, row):
-        longest = F.greatest(acc["longest"], row["n"])
+        n = F.coalesce(row["n"], F.lit(0))
+        longest = F.greatest(acc["longest"], n)
         full = (acc["rows"] == 0) | (acc["rows"] >= max_rows) | ((acc["rows"] + 1) * longest > max_padded)
         batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
         return F.struct(
             batch.alias("batch"),
             F.when(full, F.lit(1)).otherwise(acc["rows"] + 1).alias("rows"),
-            F.when(full, row["n"]).otherwise(longest).alias("longest"),
+            F.when(full, n).otherwise(longest).alias("longest"),
             F.array_append(acc["out"], F.struct(row["ord"].alias("ord"), row["n"].alias("n"), batch.alias("batch"))).alias("out"),
         )
 
-    rows = F.array_sort(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), F.col("n").cast("long").alias("n"))))
-    packed = pieces.groupBy("model", "shard").agg(rows.alias("rows"))
-    folded = packed.select("model", "shard", F.aggregate("rows", state, admit)["out"].alias("out"))
-    return folded.select("model", "shard", F.explode("out").alias("o")).select("model", "shard", "o.*")
+    # The key is one struct, since fields of it may be null where a join's key may not.
+    narrow = pieces.select(F.struct("model", "shard").alias("_k"), F.col("ord").cast("long").alias("ord"), F.col("n").cast("long").alias("n"))
+    block = F.coalesce(F.floor(F.col("ord") / slice_rows), F.lit(-(1 << 62)))
+    ranked = ordinal(narrow, ["_k"], ["ord", "n"], block, "_at").withColumn("_slice", F.floor(F.col("_at") / slice_rows))
+    rows = F.array_sort(F.collect_list(F.struct("ord", "n")))
+    packed = ranked.groupBy("_k", "_slice").agg(rows.alias("rows"))
+    folded = packed.select("_k", (F.col("_slice") * slice_rows).alias("_first"), F.explode(F.aggregate("rows", state, admit)["out"]).alias("o"))
+    return folded.select("_k.*", "o.ord", "o.n", (F.col("_first") + F.col("o.batch")).alias("batch"))
 
 
 def padding_report(packed: DataFrame) -> DataFrame:
@@ -64,31 +73,81 @@ def score_with_model(
     fails, or gives another count, marks its own rows in `error` and no others.
 
     `keys` and `schema` are DDL for the columns kept and the result's fields."""
-    names = [field.split()[0] for field in keys.split(",")]
-    fields = [field.strip().split()[0] for field in schema.split(",")]
+    names, fields = _names(keys), _names(schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for frame in frames:
             for first in range(0, len(frame), max_rows):
-                part = frame.iloc[first : first + max_rows]
-                out = part[names].copy()
-                try:
-                    results = model(list(part[payload]))
-                    if len(results) != len(part):
-                        raise ValueError(f"{len(results)} results for {len(part)} pieces")
-                    for field in fields:
-                        out[field] = [result[field] for result in results]
-                    out["error"] = None
-                except Exception as exc:  # the batch's rows fail, not the job
-                    for field in fields:
-                        out[field] = None
-                    out["error"] = f"{type(exc).__name__}: {exc}"
-                yield out
+                yield _scored(frame.iloc[first : first + max_rows], model, payload, names, fields)
 
     return pieces.select(*names, payload).mapInPandas(run, f"{keys}, {schema}, error string")
 
 
+def score_batches(
+    packed: DataFrame, load: Callable[[object], Callable[[list], list]], *, payload: str, schema: str, keys: str
+) -> DataFrame:
+    """packed(model, shard, ord, batch, payload) scored one packed batch a call, in
+    the order of `ord`: `load` is asked for a model by its name, once per task for
+    each that the task meets. A batch is never split, wherever a frame of rows
+    ends, nor joined to another; one that fails, also because its model cannot be
+    loaded, marks its own rows in `error`. Null names and shards are groups like any."""
+    names, fields = _names(keys), _names(schema)
+    by = ["model", "shard", "batch"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models: dict = {}
+
+        def called(name: object) -> Callable[[list], list]:
+            def model(payloads: list) -> list:
+                if name not in models:
+                    models[name] = load(name)
+                return models[name](payloads)
+
+            return model
+
+        held, of = None, None
+        for frame in frames:
+            marks = list(zip(*[[None if pd.isna(v) else v for v in frame[column]] for column in by]))
+            frame = frame.drop(columns="_order")
+            first = 0
+            for i, mark in enumerate(marks):
+                if mark != of:
+                    ended = frame.iloc[first:i] if held is None else pd.concat([held, frame.iloc[first:i]])
+                    if len(ended):
+                        yield _scored(ended, called(of[0]), payload, names, fields)
+                    held, of, first = None, mark, i
+            rest = frame.iloc[first:]
+            held = rest if held is None else pd.concat([held, rest])
+        if held is not None and len(held):
+            yield _scored(held, called(of[0]), payload, names, fields)
+
+    asked = packed.select(*dict.fromkeys([*names, *by, payload]), F.col("ord").alias("_order"))
+    dealt = asked.repartition(*by).sortWithinPartitions(*by, "_order")
+    return dealt.mapInPandas(run, f"{keys}, {schema}, error string")
+
+
+def _names(ddl: str) -> list[str]:
+    return [field.strip().split()[0] for field in ddl.split(",")]
+
+
+def _scored(part: pd.DataFrame, model: Callable[[list], list], payload: str, names: list[str], fields: list[str]) -> pd.DataFrame:
+    """`part` through a model in one call."""
+    out = part[names].copy()
+    try:
+        results = model(list(part[payload]))
+        if len(results) != len(part):
+            raise ValueError(f"{len(results)} results for {len(part)} pieces")
+        for field in fields:
+            out[field] = [result[field] for result in results]
+        out["error"] = None
+    except Exception as exc:  # the batch's rows fail, not the job
+        for field in fields:
+            out[field] = None
+        out["error"] = f"{type(exc).__name__}: {exc}"
+    return out
+
+
 def keep_first_on_failure(first: DataFrame, redo: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """First-pass results replaced by a second pass only where that succeeded."""
     good = redo.where(F.col("error").isNull()).select(*keys, F.lit(True).alias("_again"), *[F.col(f).alias(f"_r_{f}") for f in fields])

@@ -151,17 +151,21 @@ def _pack(spark, sf_dir):
     return batching.pack_batches(_jobs(spark, sf_dir), max_padded=4_000_000)
 
 
-_PACK_SQL = """
+def _pack_sql(cap):
+    return f"""
 numbered AS (SELECT *, row_number() OVER (PARTITION BY model, shard ORDER BY ord) AS r FROM jobs),
 packed AS (
   SELECT model, shard, ord, n, r, CAST(0 AS BIGINT) AS batch, 1 AS rows, n AS longest FROM numbered WHERE r = 1
   UNION ALL
   SELECT x.model, x.shard, x.ord, x.n, x.r, CASE WHEN x.f THEN x.batch + 1 ELSE x.batch END, CASE WHEN x.f THEN 1 ELSE x.rows + 1 END,
          CASE WHEN x.f THEN x.n ELSE greatest(x.longest, x.n) END
-  FROM (SELECT j.*, p.batch, p.rows, p.longest, p.rows >= 4 OR (p.rows + 1) * greatest(p.longest, j.n) > 4000000 AS f
+  FROM (SELECT j.*, p.batch, p.rows, p.longest, p.rows >= 4 OR (p.rows + 1) * greatest(p.longest, j.n) > {cap} AS f
         FROM packed p JOIN numbered j ON j.model = p.model AND j.shard = p.shard AND j.r = p.r + 1) x)"""
 
 
+_PACK_SQL = _pack_sql(4_000_000)
+
+
 def _waste(spark, sf_dir):
     return batching.padding_report(_pack(spark, sf_dir)).withColumn("waste", F.round("waste", 9))
 
@@ -185,6 +189,37 @@ def _score(spark, sf_dir):
     ).drop("error")
 
 
+def _together(name):
+    """A stand-in model that tells with whom a text was heard; m2 hears no batch of three."""
+
+    def model(texts):
+        if name == "m2" and len(texts) == 3:
+            raise ValueError("three at once")
+        return [{"heard_by": name, "together": len(texts), "longest": max(len(t or "") for t in texts)} for t in texts]
+
+    return model
+
+
+def _score_packed(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("m"), F.col("doc_id") % 3).alias("model"), F.lit(0).alias("shard"), F.col("doc_id").alias("ord"),
+        F.coalesce(F.length("text"), F.lit(0)).alias("n"), "text",
+    )
+    packed = batching.pack_batches(docs, max_padded=3000, slice_rows=32).drop("n").join(docs, ["model", "shard", "ord"])
+    scored = batching.score_batches(
+        packed, _together, payload="text", keys="ord long, batch long", schema="heard_by string, together int, longest int"
+    )
+    return scored.withColumnRenamed("ord", "doc_id")
+
+
+_SCORE_PACKED_SQL = f"""
+WITH RECURSIVE jobs AS (SELECT 'm' || CAST(doc_id % 3 AS VARCHAR) AS model, (row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1) // 32 AS shard,
+     doc_id AS ord, CAST(coalesce(length(text), 0) AS BIGINT) AS n FROM documents), {_pack_sql(3000)},
+told AS (SELECT model, ord AS doc_id, shard * 32 + batch AS batch, CAST(count(*) OVER b AS INTEGER) AS together, CAST(max(n) OVER b AS INTEGER) AS longest FROM packed WINDOW b AS (PARTITION BY model, shard, batch))
+SELECT doc_id, batch, CASE WHEN ok THEN model END AS heard_by, CASE WHEN ok THEN together END AS together, CASE WHEN ok THEN longest END AS longest,
+       CASE WHEN NOT ok THEN 'ValueError: three at once' END AS error FROM (SELECT *, NOT (model = 'm2' AND together = 3) AS ok FROM told)"""
+
+
 def _isolate(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("n_chars"), F.lit("kept").alias("first"))
     redo = batching.score_with_model(
@@ -260,6 +295,7 @@ QUERIES = [
         "WITH RECURSIVE " + _JOBS_SQL + "," + _PACK_SQL + """ SELECT model, count(*) AS batches, CAST(sum(c) AS BIGINT) AS rows,
            round(1 - sum(audio) / sum(c * top), 9) AS waste FROM (SELECT model, shard, batch, count(*) AS c, max(n) AS top, sum(n) AS audio FROM packed GROUP BY ALL) GROUP BY model""",
     ),
+    Query("score_batches", _score_packed, _SCORE_PACKED_SQL),
     Query(
         "score_with_model", _score,
         r"""SELECT conv_id, turn, CASE WHEN contains(text, ' ') THEN length(text) END AS n_chars,
