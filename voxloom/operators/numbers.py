@@ -391,13 +391,33 @@ def written_values(word: Column) -> Column:
 
 def match_said_to_written(spoken: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """spoken(keys, words) and mentions(keys, pos, options): mentions that a run
-    of the spoken words says, of any length. A text meets its own mentions in
-    one row, where each reading is looked for between words' borders."""
+    of the spoken words says, of any length. Case and marks are passed over, and a
+    reading's space may lie within a word or between two, but it begins and ends
+    where words do. A text meets its own mentions in one row: its runs of each
+    length that a reading has are looked up among all readings at once, so the
+    work grows with the text and the readings, not with their product. Null words
+    and readings, and those of no letter or digit, say nothing."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    texts = spoken.select(*keys, F.concat(F.lit("|"), F.array_join(F.transform("words", plain), "|"), F.lit("|")).alias("_text"))
-    ways = found.select(*keys, "pos", F.array_distinct(F.filter(F.transform("options", plain), lambda o: o != "")).alias("_said"))
+    nothing = F.array().cast("array<string>")
+    parts = F.filter(F.transform("words", lambda w: F.split(plain(w), " ")), lambda p: p[0] != "")
+    ways = found.select(*keys, "pos", F.coalesce(F.array_distinct(F.filter(F.transform("options", plain), lambda o: o != "")), nothing).alias("_said"))
     held = ways.groupBy(*keys).agg(F.collect_list(F.struct("pos", "_said")).alias("_ways"))
-    # a space of a reading lies within a word or between two; words of no letter or digit are passed over
-    here = lambda said: F.rlike("_text", F.concat(F.lit(r"\|"), F.replace(said, F.lit(" "), F.lit("[ |]+")), F.lit(r"\|")))
-    told = F.filter("_ways", lambda m: F.exists(m["_said"], here))
-    return texts.join(held, keys).select(*keys, F.explode(F.transform(told, lambda m: m["pos"])).alias("pos")).distinct()
+    every = F.array_distinct(F.flatten(F.transform("_ways", lambda m: m["_said"])))
+    lengths = F.array_distinct(F.transform(every, lambda said: F.size(F.split(said, " "))))
+
+    def runs_of(t: Column, length: Column) -> Column:
+        whole_words = F.filter(indices(F.size(t["token"]) - length + 1), lambda i: F.get(t["begins"], i) & F.get(t["ends"], i + length - 1))
+        return F.transform(whole_words, lambda i: F.array_join(F.slice(t["token"], i + 1, length), " "))
+
+    split_ = let(parts, lambda p: F.struct(
+        F.flatten(p).alias("token"),
+        F.flatten(F.transform(p, lambda w: F.transform(w, lambda _t, i: i == 0))).alias("begins"),
+        F.flatten(F.transform(p, lambda w: F.transform(w, lambda _t, i: i == F.size(w) - 1))).alias("ends"),
+    ))
+    heard = let(F.struct(split_.alias("t"), every.alias("e"), lengths.alias("n")), lambda v: F.array_intersect(
+        v["e"], F.flatten(F.transform(v["n"], lambda length: runs_of(v["t"], length)))
+    ))
+    told = let(F.struct(heard.alias("heard"), F.col("_ways").alias("w")), lambda v: F.transform(
+        F.filter(v["w"], lambda m: F.arrays_overlap(m["_said"], v["heard"])), lambda m: m["pos"]
+    ))
+    return spoken.select(*keys, "words").join(held, keys).select(*keys, F.explode(told).alias("pos")).distinct()
