@@ -135,6 +135,43 @@ def verbalise(docs: DataFrame, doc: str, words: str, found: DataFrame) -> DataFr
     return joined.unionByName(docs.where(~has).withColumn("said", F.array_join(words, " ")))
 
 
+def say_digits(docs: DataFrame, keys: list[str], text: str = "said") -> DataFrame:
+    """docs with the numbers left in `text`, inside other words too, said somehow,
+    so that an aligner, which wants letters, has them: MP3, 5m. A number is said its
+    first way, and one of none (a name, an odd suffix, a very long one) as an amount
+    or digit by digit, with its suffix as written. Every different number is read
+    once, and joined to the texts that hold it; texts without a digit stay out of
+    that. Spaces come out single; a null text stays null, and rows with null or
+    repeated keys keep a row each."""
+    keys = list(keys)
+    marked = docs.withColumn("_has", F.coalesce(F.col(text).rlike(r"[0-9]"), F.lit(False)))
+    held = marked.where("_has").withColumn("_in", F.regexp_extract_all(text, F.lit(nb.INSIDE), F.lit(0)))
+    numbers = held.select(F.explode("_in").alias("word")).distinct()
+    first = read_phrases(numbers.withColumn("previous", F.lit(None).cast("string")).withColumn("following", F.lit(None).cast("string")))
+    known = cut_lineage(first.select("word", option(F.get("readings", F.lit(0))).alias("_said")))
+    # Written out between the steps, like the readings.
+    split_ = cut_lineage(numbers.join(known, "word", "left_anti").withColumn("_n", nb.numeral(F.col("word"))))
+    n, short = F.col("_n"), F.char_length("_n.whole") <= nb.MAX_DIGITS
+    counted = cut_lineage(split_.withColumn("_a", F.when(short, F.get(nb.amounts(n["whole"].cast("long")), F.lit(0)))))
+    sign = F.when(n["sign"] != "", F.lit("minus ")).otherwise(F.lit(""))
+    point = F.when(n["fraction"] != "", F.concat(F.lit(" point "), nb.digit_words(n["fraction"]))).otherwise(F.lit(""))
+    anyway = F.concat(sign, F.coalesce("_a", nb.digit_words(n["whole"])), point, F.lit(" "), n["suffix"])
+    said = known.unionByName(counted.select("word", anyway.alias("_said")))
+    # The texts meet the numbers by a digest of their own, which also tells apart what keys do not.
+    named = held.withColumn("_text", F.sha2(text, 256))
+    each = named.select("_text", F.explode(F.array_distinct("_in")).alias("word")).distinct()
+    spoken = each.join(said, "word").groupBy("_text").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "_said"))).alias("_map")
+    )
+    between = F.split(text, nb.INSIDE, -1)
+    put = F.concat(
+        F.flatten(F.transform("_in", lambda w, i: F.array(F.get(between, i), F.try_element_at("_map", w)))), F.slice(between, -1, 1)
+    )
+    plain = F.trim(F.regexp_replace(F.array_join(put, " "), " +", " "))
+    done = named.join(spoken, "_text").withColumn(text, plain).select(*docs.columns)
+    return done.unionByName(marked.where(~F.col("_has")).select(*docs.columns))
+
+
 def verbalise_words(pieces: DataFrame, key: str, found: DataFrame) -> DataFrame:
     """pieces(key, words array<struct<word, start, end>>) with numbers said out:
     a phrase's span is shared by length, its first letter capitalised where a

@@ -104,6 +104,21 @@ def _verbalise(spark, sf_dir):
     return no.verbalise(docs, "doc_id", "words", no.phrases(docs, "doc_id", F.col("words"))).select("doc_id", "said")
 
 
+def _inside(spark, sf_dir):
+    """Every part with its size, brand and key inside words, said out."""
+    texts = views.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.format_string("MP%d at %s for %dm", F.col("p_size"), F.col("p_brand"), F.col("p_partkey") % 90 + 10).alias("said"),
+    )
+    return no.say_digits(texts, ["p_partkey"])
+
+
+_BELOW_HUNDRED_SQL = """
+ones AS (SELECT ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen',
+                 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen'] AS o, ['twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety'] AS t),
+nums AS (SELECT n, CASE WHEN n < 20 THEN o[n] WHEN n % 10 = 0 THEN t[n // 10 - 1] ELSE t[n // 10 - 1] || '-' || o[n % 10] END AS w FROM ones, range(1, 100) r(n))"""
+
+
 def _priced(spark, sf_dir):
     """Every part's price, as text with a price in it."""
     parts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.format_string("$%.2f", "p_retailprice").alias("w"))
@@ -236,6 +251,14 @@ QUERIES = [
     Query("classify_number", _kinds),
     Query("number_phrases", _phrases),
     Query("default_verbalisation", _verbalise),
+    Query(
+        "say_digits", _inside,
+        with_views(
+            """SELECT p_partkey, 'MP ' || a.w || ' at ' || regexp_replace(p_brand, '[0-9]+$', '') || ' ' || b.w || ' for ' || c.w || ' m' AS said
+               FROM part JOIN nums a ON a.n = p_size JOIN nums b ON b.n = CAST(regexp_extract(p_brand, '[0-9]+$') AS INTEGER) JOIN nums c ON c.n = p_partkey % 90 + 10""",
+            _BELOW_HUNDRED_SQL,
+        ),
+    ),
     Query("rivals", _rivals),
     Query("needs_audio_flag", _needs),
     Query("choose_reading", _choose, _CHOOSE_SQL),
