@@ -163,10 +163,9 @@ def say_digits(docs: DataFrame, keys: list[str], text: str = "said") -> DataFram
     spoken = each.join(said, "word").groupBy("_text").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "_said"))).alias("_map")
     )
-    between = F.split(text, nb.INSIDE, -1)
-    put = F.concat(
+    put = let(F.split(text, nb.INSIDE, -1), lambda between: F.concat(
         F.flatten(F.transform("_in", lambda w, i: F.array(F.get(between, i), F.try_element_at("_map", w)))), F.slice(between, -1, 1)
-    )
+    ))
     plain = F.trim(F.regexp_replace(F.array_join(put, " "), " +", " "))
     done = named.join(spoken, "_text").withColumn(text, plain).select(*docs.columns)
     return done.unionByName(marked.where(~F.col("_has")).select(*docs.columns))
